@@ -25,3 +25,49 @@ SELECT conv_id,
     sum(length(esc) + CASE WHEN goes_on THEN 8 ELSE 8 + length(role) + 1 + 8 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLE_SQL["op3_source_mixing"] = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS shuffled FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+    SELECT *, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 2 AS most FROM s
+), f AS (
+    SELECT *, most / weight AS fills_at FROM w
+), l AS (
+    SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER (ORDER BY fills_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+        / sum(weight) OVER (ORDER BY fills_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f
+), t AS (
+    SELECT source, source_size, coalesce(least(weight * (SELECT min_by(level, struct_pack(fills_at, place)) FROM l WHERE level <= fills_at), most), most)::DOUBLE AS target FROM l
+), o AS (
+    SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+    (greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - start - source_size)))::BIGINT AS taken
+FROM o
+"""
+
+ORACLE_SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL["op7_line_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+), k AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+    SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY doc_id
+"""
