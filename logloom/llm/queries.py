@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, line_dedup, mixing, ngram_join, quality_rules, warc
+from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_rules, warc
 from logloom.llm.sql import ORACLE_SQL
 from logloom.llm.staging import fresh_path, table
 
@@ -17,6 +18,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.mix(table(spark, sf_dir, "documents"))
     return copies.groupBy("source", "place", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
