@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_rules, warc
+from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, warc
 from logloom.llm.sql import ORACLE_SQL
 from logloom.llm.staging import fresh_path, table
 
@@ -43,6 +43,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_keep(docs, line_dedup.dedup_lines(docs, min_docs=10))

@@ -33,9 +33,9 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int,
         row = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of all words, and the index of each text's first word (one more at the end)."""
-    inside = ~IS_SPACE[data]
+    inside = in_word[data]
     cut = offsets[1:-1]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
