@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, warc
+from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity, warc
 from logloom.llm.sql import ORACLE_SQL
 from logloom.llm.staging import fresh_path, table
 
@@ -55,6 +55,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.toxicity(docs, chain)
+    return scored.select("doc_id", held_out.alias("held_out"), "severe", F.col("toxic").alias("score"), F.when(F.col("toxic") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
