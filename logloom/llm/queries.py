@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity, warc
+from logloom.llm import ann, bpe, chat, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity, warc
 from logloom.llm.sql import ORACLE_SQL
 from logloom.llm.staging import fresh_path, table
 
@@ -34,6 +34,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.groupBy("source", "place", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
