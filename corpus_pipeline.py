@@ -1,5 +1,80 @@
-"""The corpus pipeline: stages over ``documents``, each an operator of ``logloom.llm``."""
-STAGES: list = []
+"""The corpus pipeline: stages over ``documents``, each applying one operator of ``logloom.llm``.
+
+Every stage but the last returns the columns of ``documents``. SQL can't express the estimation of the first
+stage's accuracies, nor byte-pair merges, so the pipeline is tested against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
+from logloom.llm.staging import stage, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs.select(*COLUMNS))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more stay in the first of them alone.
+
+    Documents of which no word is left go: all their lines stand elsewhere. Documents without words stay.
+    """
+    docs = docs.select(*COLUMNS)
+    marks = line_dedup.dedup_lines(docs, min_docs=10, keep_first=True)
+    kept = line_dedup.apply_keep(docs, marks)
+    kept = kept.where((F.col("__n_dropped") == 0) | F.col("text").rlike(HAS_WORD))
+    changed = F.col("__n_dropped") > 0
+    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingle sets, that with the smallest id stays."""
+    docs = docs.select(*COLUMNS)
+    found = ngram_join.similar_documents(docs)
+    others = found.where("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy that the mix takes; a copy that its source's target cuts counts if half of it is taken."""
+    docs = docs.select(*COLUMNS)
+    copies = mixing.mix(docs).where("taken > 0 AND 2 * taken >= size").select("doc_id")
+    return docs.join(copies, "doc_id").select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row's text, with the digest of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenize),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.range(0)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage(docs, f"pipeline-{i}")
+    return docs

@@ -130,6 +130,26 @@ def _estimate(iterations: int) -> str:
     """
 
 
+def voted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``counted`` with the rules' ``votes`` and ``base_failed``."""
+    t = counted(documents, id_col, text_col)
+    votes = [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for bad, good in RULES.values()]
+    return t.withColumn("votes", F.array(*votes)).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+
+
+def posteriors(votes: DataFrame, iterations: int = 30) -> DataFrame:
+    """(pattern, p_good) of each vote pattern of the corpus; at most 3 ** len(RULES) rows."""
+    patterns = votes.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
+    estimated = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p")).where("size(p) > 0")
+    return estimated.select(F.inline(F.expr(_estimate(iterations)))).withColumnRenamed("votes", "pattern")
+
+
+def judged(votes: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``voted`` rows with their pattern's ``p_good`` and the verdict ``kept``."""
+    joined = votes.join(F.broadcast(found), votes["votes"] == found["pattern"]).drop("pattern")  # bounded, see posteriors
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", iterations: int = 30, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior probability ``p_good`` and the verdict ``kept``; one row per input row.
 
@@ -137,14 +157,15 @@ def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts have no words and fail; null ids are kept as they are; repeated rows are judged alike; an empty
     table gives no rows. Other columns are not read, so their names cannot clash.
     """
-    t = counted(documents, id_col, text_col)
-    votes = [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for bad, good in RULES.values()]
-    t = t.withColumn("votes", F.array(*votes))
-    t = t.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
-    t = stage(t, "quality")
-    patterns = t.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
-    estimated = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p")).where("size(p) > 0")
-    posteriors = estimated.select(F.inline(F.expr(_estimate(iterations)))).withColumnRenamed("votes", "pattern")
-    # at most 3 ** len(RULES) rows
-    judged = t.join(F.broadcast(posteriors), t["votes"] == posteriors["pattern"]).drop("pattern")
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    votes = stage(voted(documents, id_col, text_col), "quality")
+    return judged(votes, posteriors(votes, iterations), threshold)
+
+
+def keep_good(documents: DataFrame, text_col: str = "text", iterations: int = 30, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that ``quality`` keeps, with all their columns and without moving any.
+
+    The votes are taken once to estimate the posteriors and once more, in the scan, to filter.
+    """
+    found = posteriors(stage(voted(documents, text_col, text_col).select("votes"), "votes"), iterations)
+    rows = documents.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return judged(voted(rows, "row"), found, threshold).where("kept").select("doc_id.*")
