@@ -9,8 +9,8 @@
 3. Candidates are verified by fragment: the overlap is counted in each fragment separately and summed per pair.
 4. Pairs are never enumerated within a group. Rounds of stars link each class to the partner with which it
    shares most of its prefix; only classes that still share a prefix n-gram *and* lie in different
-   components are then compared, so no link between different sets is lost and groups of near copies
-   cost about one pair per member.
+   components are then compared, behind bounds from their positions and parity bitmaps, so no link between
+   different sets is lost and groups of near copies cost about one pair per member.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ FRAGMENT_BYTES = 64 << 20
 #: Fragments in which a pair's overlap is counted.
 PAIR_FRAGMENTS = 4
 STAR_ROUNDS = 3
+#: 64-bit words of a set's parity bitmap: bit i is the parity of the n-grams that hash to i. Two bitmaps differ in
+#: at most as many bits as the sets differ in n-grams, which bounds a pair's overlap from above.
+BITMAP_WORDS = 16
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,7 +112,7 @@ def _assembled(group: pa.Table) -> pa.Table:
 
 def _ordered(width: int):
     """Live documents: signature of the set, prefix in the global order, and the shared n-grams by pair fragment."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("prefix", pa.list_(pa.int64())), ("unique", pa.int64()), *((f"f{i}", pa.binary()) for i in range(PAIR_FRAGMENTS))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("prefix", pa.list_(pa.int64())), ("unique", pa.int64()), ("bits", pa.list_(pa.int64())), *((f"f{i}", pa.binary()) for i in range(PAIR_FRAGMENTS))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +127,9 @@ def _ordered(width: int):
                     common = own[df > 1]
                     cuts = np.searchsorted(common, np.arange(1, PAIR_FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // PAIR_FRAGMENTS))
                     signature = (int(textscan.mixed(own).sum(dtype=np.uint64)) << 64 | int(np.bitwise_xor.reduce(textscan.mixed(~own)))).to_bytes(16, "big")
-                    rows.append((batch["doc_id"][begin + i].as_py(), n, signature, prefix.view(np.int64), unique, *[x.tobytes() for x in np.split(common, cuts)]))
+                    odd = np.bincount((textscan.mixed(own) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+                    bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                    rows.append((batch["doc_id"][begin + i].as_py(), n, signature, prefix.view(np.int64), unique, bits, *[x.tobytes() for x in np.split(common, cuts)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return scan
@@ -160,9 +165,11 @@ def _compatible(n: str, m: str) -> str:
 def _stars(postings: DataFrame, seed: int) -> DataFrame:
     """At most one candidate per class: of the pivots of its prefix n-grams, that with most of them in common.
 
-    An n-gram's pivot is, among its classes of similar size, the one with the smallest seeded hash.
+    An n-gram's pivot is, among its classes of similar size, first the one with the smallest share of n-grams
+    of its own (the text that others were copied from), in later rounds the one with the smallest seeded hash.
     """
-    rank = F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("rank"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
+    order = F.col("unique") / F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "doc_id").cast("double")
+    rank = F.struct(order.alias("rank"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
     pivots = postings.groupBy("token", "band").agg(F.min(rank).alias("p"), F.count("*").alias("members")).where("members > 1").select("token", "band", "p.*")
     near = postings.join(pivots, ["token", "band"]).where("doc_id <> pivot AND component <> other AND " + _compatible("n", "m"))
     counts = near.groupBy("doc_id", "pivot").agg(F.count("*").alias("common"))
@@ -198,14 +205,14 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     live = sized.where("df IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_hash", "df")).alias("x")).select("doc_id", "x.*")
     texts = docs.where("doc_id IS NOT NULL").join(live, ["doc_id", "text_hash"]).select("doc_id", "text", "df")
     fields = ", ".join(f"f{i} binary" for i in range(PAIR_FRAGMENTS))
-    sets = stage(texts.mapInArrow(_ordered(width), f"doc_id long, n long, signature binary, prefix array<long>, unique long, {fields}"), "sets")
+    sets = stage(texts.mapInArrow(_ordered(width), f"doc_id long, n long, signature binary, prefix array<long>, unique long, bits array<long>, {fields}"), "sets")
 
     classes = stage(sets.groupBy("signature", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     members = sets.select("doc_id", "signature", "n").join(classes, ["signature", "n"]).select("doc_id", "class_id")
     firsts = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     firsts = stage(firsts, "firsts")
     postings = firsts.select("doc_id", "n", "unique", F.posexplode("prefix").alias("pos", "token"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("band"))
-    postings = postings.select("token", "doc_id", "n", (F.col("pos") + F.col("unique")).alias("pos"), "band", F.col("doc_id").alias("component"))
+    postings = postings.select("token", "doc_id", "n", "unique", (F.col("pos") + F.col("unique")).alias("pos"), "band", F.col("doc_id").alias("component"))
     # an n-gram of one class pairs nothing
     several = postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
     postings = stage(postings.join(several, "token"), "postings")
@@ -218,12 +225,16 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
         mixed = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
         postings = stage(postings.join(mixed, "token"), "postings")
     # what is left between components, compared in full
+    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+    postings = postings.join(firsts.select("doc_id", *words), "doc_id")
+    differ = " + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in range(BITMAP_WORDS))
     left, right = postings.alias("l"), postings.alias("r")
     cross = left.join(
         right,
         F.expr(
             f"l.token = r.token AND l.doc_id < r.doc_id AND l.component <> r.component AND {_compatible('l.n', 'r.n')}"
-            " AND 7 * (least(l.pos, r.pos) + least(l.n - l.pos, r.n - r.pos)) >= 3 * (l.n + r.n)"
+            f" AND 7 * ({differ}) <= l.n + r.n"
+            " AND 7 * (least(l.pos - l.unique, r.pos - r.unique) + least(l.n - l.pos, r.n - r.pos)) >= 3 * (l.n + r.n)"
         ),
     )
     pairs = cross.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
