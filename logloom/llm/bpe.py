@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import tiktoken
 import zstandard
 from pyspark import Broadcast, TaskContext
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import pretokens, textscan
-from logloom.llm.staging import stage
 
 #: Bytes of text whose pre-tokens share one dictionary.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Bytes of text that are cut into pre-tokens at a time.
+STEP_BYTES = 2 << 20
 #: Bytes of text for each of the buckets to which words are shuffled.
 BUCKET_BYTES = 64 << 20
 
@@ -73,7 +75,7 @@ def _blob_array(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _coded(buckets: int, id_type: pa.DataType):
     """Chunks of texts as dictionary codes, and the dictionaries' words by bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("codes", pa.binary()), ("words", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("codes", pa.binary()), ("words", pa.binary()), ("digest", pa.int64())])
 
     def rows(chunk: int, ids: list, counts: list[np.ndarray], parts: list[pa.Array]) -> pa.RecordBatch:
         merged = pa.chunked_array(parts).unify_dictionaries()
@@ -82,12 +84,14 @@ def _coded(buckets: int, id_type: pa.DataType):
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words get small codes
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words))
-        out = [(CODES, chunk, pa.concat_arrays(ids).to_pylist(), _pack(np.concatenate(counts), rank[codes]), None)]
         words = words.take(pa.array(order)).cast(pa.large_binary())
         ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
         data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
         data, ends = data[ends[0] : ends[-1]], ends - ends[0]
         hashes = textscan.word_hashes(data, ends[:-1], ends[1:])
+        # the two readers of a scan must see the same chunks; the digest is compared when they meet again
+        digest = int(textscan.mixed(hashes + np.arange(len(hashes), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        out = [(CODES, chunk, pa.concat_arrays(ids).to_pylist(), _pack(np.concatenate(counts), rank[codes]), None, digest)]
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
@@ -97,13 +101,13 @@ def _coded(buckets: int, id_type: pa.DataType):
                 mine = words.take(pa.array(own))
                 lengths = np.diff(np.frombuffer(mine.buffers()[1], np.int64)[: len(mine) + 1])
                 text = zstandard.compress(mine.buffers()[2].to_pybytes(), 1)
-                out.append((b, chunk, None, _pack(own, lengths), text))
+                out.append((b, chunk, None, _pack(np.diff(own, prepend=0), lengths), text, digest))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, ids, counts, parts = TaskContext.get().partitionId() << 32, 0, [], [], []
         for batch in batches:
-            for begin, end, data, offsets in textscan.steps(batch["text"]):
+            for begin, end, data, offsets in textscan.steps(batch["text"], STEP_BYTES):
                 at = pretokens.starts(data, offsets)
                 ends = np.append(at[1:], len(data)) if len(at) else at
                 ids.append(batch["id"].slice(begin, end - begin))
@@ -137,52 +141,76 @@ def _encoded(ranks: Broadcast, pattern: str):
                 ids += found
                 sizes.append(len(found))
             packed.append(_pack(own, np.array(sizes, np.uint32), np.array(ids, np.uint32)))
-        return pa.table({"chunk": group["chunk"], "word_ids": pa.array(packed, pa.binary())})
+        return pa.table({"chunk": group["chunk"], "word_ids": pa.array(packed, pa.binary()), "digest": group["digest"]})
 
     return encode
 
 
-def _reassembled(id_type: pa.DataType):
+def _reassembled(id_type: pa.DataType, ranks: Broadcast, with_decoded: bool):
     def reassemble(codes: pa.Table, words: pa.Table) -> pa.Table:
         """One chunk: the ids of its words put at the words' positions, document by document."""
+        if pa.compute.count_distinct(pa.concat_arrays([*codes["digest"].chunks, *words["digest"].chunks])).as_py() != 1:
+            raise RuntimeError("a chunk's words don't belong to its codes: the input changed between two readings")
         counts, at = _unpack(codes["codes"][0].as_py())
         pieces = [_unpack(x.as_py()) for x in words["word_ids"]]
-        own = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, np.uint32)
+        own = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in pieces]) if pieces else np.zeros(0, np.int64)
         sizes = np.concatenate([p[1] for p in pieces]).astype(np.int64) if pieces else np.zeros(0, np.int64)
-        flat = np.concatenate([p[2] for p in pieces]) if pieces else np.zeros(0, np.uint32)
-        by_piece = np.empty(len(own), np.int64)
-        by_piece[own] = np.arange(len(own))
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(flat.astype(np.int32)))
-        at = by_piece[at.astype(np.int64)]
+        flat = np.concatenate([p[2] for p in pieces]).astype(np.int32) if pieces else np.zeros(0, np.int32)
+        del pieces
+        by_piece = np.empty(len(own), np.int32)
+        by_piece[own] = np.arange(len(own), dtype=np.int32)
+        at = by_piece[at]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
         ids = lists.take(pa.array(at)).flatten()
         words_before = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
-        ids_before = np.concatenate([[0], np.cumsum(sizes[at])])[words_before]
-        out = pa.LargeListArray.from_arrays(pa.array(ids_before), ids).cast(pa.list_(pa.int32()))
-        return pa.table({"id": pa.array(codes["ids"][0].as_py(), id_type), "ids": out})
+        ids_before = np.concatenate([[0], np.cumsum(sizes[at])])[words_before].astype(np.int32)
+        columns = {"id": pa.array(codes["ids"][0].as_py(), id_type), "ids": pa.ListArray.from_arrays(pa.array(ids_before), ids)}
+        if with_decoded:
+            columns["decoded"] = _decoded(_token_bytes(ranks.value), columns["ids"])
+        return pa.table(columns)
 
     return reassemble
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decoded(table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, by looking all ids up in the token-byte table at once; null lists have none."""
+    ids = lists.flatten()
+    if len(ids) and (pa.compute.min(ids).as_py() < 0 or pa.compute.max(ids).as_py() >= len(table)):
+        raise ValueError("an id is not in the vocabulary")
+    tokens = table.take(ids)
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+    offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
+    data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary())
+
+
+def encode(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """(``id_col``, ids) per row: the token ids of the whole text, without special tokens.
 
     ``ranks_path`` is a file of base64 tokens with their ranks, read by the driver; ``pattern`` cuts texts for the
-    encoder and must be the one that ``pretokens`` implements. Null and empty texts have no ids. Each row is
-    encoded by itself, so repeated rows and null ids do no harm. An empty table gives no rows. Other columns
-    are not read.
+    encoder and must be the one that ``pretokens`` implements. ``with_decoded`` adds ``decoded``, the bytes that
+    the ids stand for, as ``decode`` gives them, without sending the ids round again.
+
+    Null and empty texts have no ids. Each row is encoded by itself, so repeated rows and null ids do no harm;
+    ids are long, int or string. An empty table gives no rows. Other columns are not read.
     """
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(open(ranks_path, "rb").read())  # the vocabulary, whatever the corpus' size
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES + 1)
-    kind = docs.schema["id"].dataType
-    id_type = pa.int64() if kind.simpleString() == "bigint" else pa.string() if kind.simpleString() == "string" else pa.int32()
-    coded = stage(docs.mapInArrow(_coded(buckets, id_type), f"bucket int, chunk long, ids array<{kind.simpleString()}>, codes binary, words binary"), "bpe")
-    words = coded.where(F.col("bucket") != CODES).select("bucket", "chunk", "codes", "words")
-    found = words.groupBy("bucket").applyInArrow(_encoded(ranks, pattern), "chunk long, word_ids binary")
-    codes = coded.where(F.col("bucket") == CODES).select("chunk", "ids", "codes")
-    done = codes.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_reassembled(id_type), f"id {kind.simpleString()}, ids array<int>")
+    kind = docs.schema["id"].dataType.simpleString()
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    # read twice, once for the words and once for the codes: codes are too large to be kept beside their shuffle
+    coded = docs.mapInArrow(_coded(buckets, id_type), f"bucket int, chunk long, ids array<{kind}>, codes binary, words binary, digest long")
+    words = coded.where(F.col("bucket") != CODES).select("bucket", "chunk", "codes", "words", "digest")
+    found = words.groupBy("bucket").applyInArrow(_encoded(ranks, pattern), "chunk long, word_ids binary, digest long")
+    codes = coded.where(F.col("bucket") == CODES).select("chunk", "ids", "codes", "digest").toDF("code_chunk", "ids", "codes", "digest")
+    out = f"id {kind}, ids array<int>" + ", decoded binary" * with_decoded
+    done = codes.groupBy("code_chunk").cogroup(found.groupBy("chunk")).applyInArrow(_reassembled(id_type, ranks, with_decoded), out)
     return done.withColumnRenamed("id", id_col)
 
 
@@ -194,17 +222,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     ranks = encoded.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(ranks.value)
         for batch in batches:
-            lists = batch[ids_col].cast(pa.large_list(pa.int32()))
-            tokens = table.take(lists.flatten())
-            if tokens.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]), 0) if len(lists) else np.zeros(0, np.int64)
-            ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
-            offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
-            data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
-            out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data]).cast(pa.binary())
+            out = _decoded(_token_bytes(ranks.value), batch[ids_col].cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

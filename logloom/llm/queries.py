@@ -20,7 +20,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    done = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
