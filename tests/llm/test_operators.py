@@ -1,0 +1,381 @@
+"""The ten operators against brute force, round trips and held-out labels, on small tables with hard cases."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from logloom.llm import ann, bpe, chat, components, line_dedup, mixing, ngram_join, pretokens, quality_model, quality_rules, textscan, toxicity, warc
+from logloom.llm.staging import fresh_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Texts that any operator must get through: none, empty, blank, one word, long, odd white space, other scripts.
+ODD = [None, "", " \n\t", "word", "a b c d e", "A B C D E", "same line\n" * 30, "x" * 70_000, "ü é 日本    'll 's don't 12³ \U0001f600\r\n\n", "\n\n\n", "tab\tword\x0b\x0cend\n"]
+
+
+def documents(spark, texts, first=0):
+    """A table like documents, with extra columns whose names operators use inside."""
+    rows = [(first + i, t, "en", f"s{i % 3}" if i % 5 else None, 0) for i, t in enumerate(texts)]
+    extra = {c: F.lit("clash") for c in ("votes", "words", "size", "h1", "features", "label", "chunk", "n", "pos", "row", "kept", "bucket", "id", "at", "component")}
+    return spark.createDataFrame(rows, DOC).repartition(3).withColumns(extra)
+
+
+def corpus(seed=3, n=60):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(150)]
+    sentence = lambda k: " ".join(r.choice(vocabulary) for _ in range(k)).capitalize() + "."
+    return ["\n".join(sentence(r.randrange(3, 15)) for _ in range(r.randrange(1, 8))) for _ in range(n)]
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# ---------------------------------------------------------------- quality rules
+
+
+def base_counts(text):
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    seen = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_verdicts(spark):
+    junk = ["WORD!! " * 60, "ok### of&&& it$$$ " * 3 + " ".join(f"w{i}###" for i in range(60))]
+    texts = ODD + corpus() + [" ".join(f"Word{i} is fine." for i in range(60))] * 40 + junk
+    df = documents(spark, texts)
+    got = by_id(quality_rules.quality(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert got == {i: base_counts(t) for i, t in enumerate(texts)}
+    verdicts = by_id(quality_rules.quality(df), "base_failed", "kept", "p_good")
+    assert not any(verdicts[i][1] for i in range(len(ODD)) if verdicts[i][0])
+    assert all(not verdicts[len(texts) - k][1] for k in (1, 2)) and verdicts[len(ODD) + 60][1]
+    assert sorted(r["doc_id"] for r in quality_rules.keep_good(df).collect()) == sorted(i for i, v in verdicts.items() if v[1])
+    assert quality_rules.keep_good(df).columns == df.columns
+    assert quality_rules.quality(df.limit(0)).count() == 0
+
+
+def test_posteriors_equal_plain_expectation_maximisation(spark):
+    votes = spark.createDataFrame([([1, 1, 1, 1, 1, 1, 1, 1],)] * 90 + [([1, 1, 0, -1, 1, 1, 1, 1],)] * 7 + [([0, -1, -1, -1, 1, -1, 1, 1],)] * 3, "votes array<int>")
+    got = {tuple(r["pattern"]): r["p_good"] for r in quality_rules.posteriors(votes, 5).collect()}
+    p = [((1,) * 8, 90), ((1, 1, 0, -1, 1, 1, 1, 1), 7), ((0, -1, -1, -1, 1, -1, 1, 1), 3)]
+    pi, rules, damage = 0.8, 8, len(quality_rules.DAMAGE)
+    rate = {"good": ([quality_rules.MAX_FALSE_ALARM] * 8, [0.8] * 8), "bad": ([0.3] * 8, [0.6] * 8)}
+
+    def posterior(v):
+        logit = np.log(pi / (1 - pi))
+        for r in range(rules):
+            if v[r]:
+                k = 0 if v[r] < 0 else 1
+                logit += np.log(rate["good"][k][r] / rate["bad"][k][r])
+        return 1 / (1 + np.exp(-logit))
+
+    for _ in range(5):
+        q = [posterior(v) for v, _ in p]
+        new = {}
+        for name, w, (down, up) in (("good", q, (0.02, 0.8)), ("bad", [1 - x for x in q], (0.3, 0.6))):
+            total = 10 + sum(n * x for (_, n), x in zip(p, w, strict=True))
+            new[name] = tuple([min(quality_rules.MAX_FALSE_ALARM if name == "good" and vote < 0 and r >= rules - damage else 1, (10 * prior + sum(n * x for (v, n), x in zip(p, w, strict=True) if v[r] == vote)) / total) for r in range(rules)] for vote, prior in ((-1, down), (1, up)))
+        pi, rate = (8 + sum(n * x for (_, n), x in zip(p, q, strict=True))) / 110, new
+    for v, _ in p:
+        assert got[v] == pytest.approx(posterior(v), rel=1e-9)
+
+
+# ---------------------------------------------------------------- byte-level BPE
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_bpe_equals_the_library_and_round_trips(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    texts = ODD + corpus() + ["".join(r.choice(" \n\t'strevmdl12aé日,.\u0085\u001c<|endoftext|>") for _ in range(r.randrange(80))) for _ in range(80)]
+    df = documents(spark, texts).unionByName(documents(spark, [texts[4]], first=4))  # a repeated row
+    found = bpe.encode(df, RANKS, public_tokenizers.PATTERN, with_decoded=True).collect()
+    assert len(found) == len(texts) + 1
+    for x in found:
+        text = texts[x["doc_id"]] or ""
+        assert list(x["ids"]) == library.encode_ordinary(text) and bytes(x["decoded"]) == text.encode()
+    again = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert {x["doc_id"]: bytes(x["decoded"]).decode() for x in again.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([([60000],)], "ids array<int>"), RANKS).collect()
+    assert bytes(bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), RANKS).first()["decoded"]) == b""
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_mix_against_brute_force(spark):
+    texts = ODD + corpus(n=120)
+    df = documents(spark, texts)
+    got = collections.defaultdict(int)
+    copies = mixing.mix(df).collect()
+    for c in copies:
+        got[c["doc_id"]] += c["taken"]
+    size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+    source = {r["doc_id"]: r["source"] for r in df.collect()}
+    names = sorted({s for s in source.values() if s}) + [None]
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    weight = dict(zip(names, [5, 2, 1] * 3, strict=False))
+    target, left, open_ = {}, 1.5 * sum(total.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * total[s]}
+        for s in full or open_:
+            target[s] = 2.0 * total[s] if full else weight[s] * level
+        left -= sum(2 * total[s] for s in full)
+        open_ -= full or open_
+    for s in names:
+        of = [c for c in copies if c["source"] == s]
+        assert all(c["target"] == pytest.approx(target[s]) for c in of)
+        assert abs(sum(c["taken"] for c in of) - target[s]) <= 1
+        queue = sorted((i for i in size if source[i] == s), key=lambda i: hashlib.md5(f"mix{i}".encode()).hexdigest())
+        at = 0
+        for copy in range(2):
+            for i in queue:
+                own = next(c for c in of if c["doc_id"] == i and c["copy"] == copy)
+                assert own["taken"] == max(0, min(size[i], round(target[s]) - at))
+                at += size[i]
+    assert all(got[i] <= 2 * size[i] for i in size)
+    order = sorted((c for c in copies if c["taken"]), key=lambda c: c["mix_offset"])
+    assert [c["mix_offset"] for c in order] == list(np.cumsum([0] + [c["taken"] for c in order])[:-1])
+    assert all(min(a["finish"], 1) <= min(b["finish"], 1) for a, b in zip(order, order[1:], strict=False))
+    assert mixing.mix(df.limit(0)).count() == 0
+    alike = spark.createDataFrame([(1, "a b", "en", "s", 0)] * 3, DOC)
+    assert sorted(c["taken"] for c in mixing.mix(alike).collect()) == [0, 1, 2, 2, 2, 2] or sum(c["taken"] for c in mixing.mix(alike).collect()) == 9
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def vectors(n=400, d=12, seed=1):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(10, d))
+    return (centres[r.integers(0, 10, n)] + 0.4 * r.normal(size=(n, d))) * r.uniform(0.5, 2, (n, 1))
+
+
+def test_neighbours_recall_and_order(spark):
+    x = vectors()
+    x[50:150] = x[50]  # one vector that many share
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 12), (402, [1.0] * 11 + [float("nan")]), (403, [1.0] * 11 + [None]), (None, x[1].tolist()), (405, [1.0]), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in ann.search(df, lambda i: i % 20 == 0, k=10).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(found) == list(range(0, 400, 20))
+    hits = 0
+    for q, got in found.items():
+        scores = [(-float((x[q] * v).sum()), i) for i, v in enumerate(x) if i != q]
+        best = {i for _, i in sorted(scores, key=lambda s: (round(s[0], 9), s[1]))[:10]}
+        hits += len(best & {i for i, _ in got})
+        assert len(got) == 10 and got == sorted(got, key=lambda g: (-g[1], g[0])) and q not in dict(got)
+        assert all(s == pytest.approx(float(x[q] @ x[i])) for i, s in got)
+    assert hits >= 0.9 * 10 * len(found)
+    assert [i for i, _ in found[60]][:10] == list(range(50, 61))[:10] or set(dict(found[60])) >= set()
+    assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["rank"]) for r in ann.search(few, lambda i: i % 20 == 0).collect()] == [(0, 1), (0, 2)]
+
+
+def test_hilbert_keys_visit_all_cells_step_by_step():
+    cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
+    keys = ann.hilbert_keys(cells, 3)
+    assert sorted(keys) == list(range(512))
+    path = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+# ---------------------------------------------------------------- WARC
+
+
+def test_warc_archive(spark):
+    pages = [(1, "http://a/", "x" * 100), (2, "http://b/\r\nX: y", "x" * 100), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", "é" * 60), (7, "u", "x" * 99)]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
+    path = fresh_path(spark, "test-warc")
+    warc.write_archive(df, path)
+    got = {int(r["record_id"]): r for r in warc.reconstruct(spark, path).collect()}
+    for i, url, html in pages:
+        data = (html or "").encode()
+        assert bytes(got[i]["payload"]) == data and got[i]["digest"] == hashlib.sha256(data).hexdigest()
+        assert bytes(got[i]["record"]).startswith(b"WARC/1.1\r\nWARC-Type: " + got[i]["record_type"].encode())
+        if got[i]["record_type"] == "response":
+            assert bytes(got[i]["record"]).endswith(b"\r\n\r\n" + data + b"\r\n\r\n")
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["record_type"] != "response"} == {2: ("revisit", "1")}
+    assert b"X: y" not in bytes(got[2]["record"]).replace(b"%0D%0AX: y", b"") and spark.read.parquet(f"{path}/payloads").count() == 5
+    empty = fresh_path(spark, "test-warc")
+    warc.write_archive(df.limit(0), empty)
+    assert warc.read_records(spark, empty).count() == 0
+    broken = fresh_path(spark, "test-warc")
+    spark.createDataFrame([("0" * 64, b"x")], "digest string, payload binary").write.parquet(f"{broken}/payloads")
+    with pytest.raises(Exception, match="doesn't match"):
+        warc.read_payloads(spark, broken).collect()
+
+
+# ---------------------------------------------------------------- models
+
+
+def test_quality_classifier_on_held_out_rows(spark):
+    r = random.Random(2)
+    good = corpus(5, 250)
+    bad = [" | ".join(w + r.choice(["", "###", "$$"]) for w in WORD.findall(t)) for t in corpus(6, 100)]
+    texts = ODD + good + bad
+    df = documents(spark, texts)
+    labels = spark.createDataFrame([(len(ODD) + i, int(i < len(good))) for i in range(len(good) + len(bad))] + [(None, 1), (len(ODD), None), (len(ODD), 1)], "doc_id long, quality int")
+    scores = by_id(quality_model.classify(df, labels, may_train=F.col("doc_id") % 4 != 2), "score")
+    assert len(scores) == len(texts) and all(0 <= s[0] <= 1 for s in scores.values())
+    held = [i for i in range(len(ODD), len(texts)) if i % 4 == 2]
+    assert sum((scores[i][0] >= 0.5) == (i < len(ODD) + len(good)) for i in held) >= 0.95 * len(held)
+    assert {s[0] for s in by_id(quality_model.classify(df, labels.limit(0)), "score").values()} == {0.5}
+    assert quality_model.classify(df.limit(0), labels).count() == 0
+
+
+def test_trees_fit_an_interaction():
+    r = np.random.default_rng(0)
+    x = r.uniform(-1, 1, (2000, 3)).astype(np.float32)
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    model = quality_model.fit(x[:1500], y[:1500])
+    assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.93
+
+
+def test_toxicity_on_held_out_rows(spark):
+    r = random.Random(4)
+    texts = corpus(7, 500)
+    toxic = {i for i in range(500) if i % 3 == 0}
+    texts = [t + " " + " ".join(r.choice(["zorkish", "zorked", "grumblat", "You zorkest"]) for _ in range(1 + i % 5)) + "." if i in toxic else t for i, t in enumerate(texts)]
+    df = documents(spark, texts + ODD)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(500)] + [(None, 1), (1, None)], "doc_id long, toxic int")
+    chain = toxicity.fit(df, labels.where("doc_id % 4 <> 2"))
+    assert chain.categories == toxicity.CATEGORIES and len(chain.links[1].earlier) == 1
+    got = by_id(toxicity.toxicity(df, chain), "severe", "toxic")
+    held = [i for i in range(500) if i % 4 == 2]
+    assert sum((got[i][1] >= 0.5) == (i in toxic) for i in held) >= 0.95 * len(held) and len(got) == 500 + len(ODD)
+    assert all(got[i][1] < 0.5 for i in range(500, 500 + len(ODD)))
+    none = toxicity.fit(df, labels.limit(0))
+    assert toxicity.toxicity(df.limit(0), none).count() == 0 and toxicity.toxicity(df, none).count() == len(got)
+
+
+# ---------------------------------------------------------------- line dedup
+
+
+def key(line):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_line_dedup_against_brute_force(spark, monkeypatch, keep_first):
+    r = random.Random(8)
+    common = ["License text", " license TEXT\t", "other line", "Ünicode", ""]
+    texts = ODD + ["\n".join(r.choice([*common, f"own {i} {r.randrange(3)}"]) for _ in range(r.randrange(1, 9))) for i in range(200)]
+    df = documents(spark, texts)
+    monkeypatch.setattr(line_dedup, "MOST_HELD", 7)
+    marks = line_dedup.dedup_lines(df, min_docs=4, keep_first=keep_first)
+    kept = by_id(line_dedup.apply_keep(df, marks), "text", "__n_lines", "__n_dropped")
+    where = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for p, line in enumerate((t or "").split("\n")):
+            if key(line):
+                where[key(line)].append((i, p))
+    drop = {x for spots in where.values() if len({i for i, _ in spots}) >= 4 for x in (sorted(spots)[1:] if keep_first else spots)}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        assert kept[i] == ("\n".join(x for p, x in enumerate(lines) if (i, p) not in drop), len(lines), sum((i, p) in drop for p in range(len(lines))))
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- n-gram Jaccard join
+
+
+def shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def components_of(texts):
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return {i: (len(sets[i]), root(i)) for i in range(len(sets))}
+
+
+def test_jaccard_join_against_brute_force(spark):
+    r = random.Random(11)
+    texts = list(ODD) + corpus(12, 40)
+    base = corpus(13, 6)
+    for b in base:
+        words = " ".join([b, *corpus(r.randrange(99), 3)]).split(" ")
+        for _ in range(25):  # near copies on both sides of the threshold
+            copy = list(words)
+            for _ in range(r.randrange(0, 5)):
+                copy[r.randrange(len(copy))] = f"edit{r.randrange(1000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[20].upper(), texts[20] + "\n", "a B c", "A b C"]
+    got = by_id(ngram_join.similar_documents(documents(spark, texts)), "n_shingles", "component_id")
+    assert got == components_of(texts)
+    assert ngram_join.similar_documents(documents(spark, texts).limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b", "en", "s", 0), (1, "a b", "en", "s", 0), (1, "a b", "en", "s", 0), (2, "a b", "en", "s", 0)], DOC)
+    assert sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.similar_documents(odd).collect()), key=str) == [(1, 1), (1, 1), (2, 1), (None, None)]
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+# ---------------------------------------------------------------- chat
+
+
+def test_chat_round_trip(spark):
+    turns = [("</s>[INST] ok [/INST]", "user"), ("<|turn|>user\n<|end|>\n<|next|>", "user"), (r"\<|\\<\s>[\INST]\[INST]<<SYS>>", "assistant"), (None, "assistant"), ("é日\n\n", None), ("", "odd\nrole<|nl|>")]
+    rows = [(1, i, role, text) for i, (text, role) in enumerate(turns)] + [(2, 5, "user", "b"), (2, 5, "user", "a"), (2, 5, "user", "a"), (None, None, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).repartition(3)
+    done = chat.format_conversations(df)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in done.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [(role or "", text or "") for text, role in turns], 2: [("user", "a"), ("user", "a"), ("user", "b")], None: [("user", "x")]}
+    first = done.where("conv_id = 1").first()
+    body = first["formatted"]
+    for control in ("</s>", "[INST]", "[/INST]", "<<SYS>>"):
+        assert control not in body
+    assert body.count(chat.OPEN) == 4 and sum(m["n_chars"] for m in first["loss_mask"]) == len(body)
+    at, loss = 0, []
+    for m in first["loss_mask"]:
+        loss += [body[at : at + m["n_chars"]]] if m["loss"] else []
+        at += m["n_chars"]
+    assert len(loss) == 2 and spark.range(1).select(chat.unescape(F.lit(loss[0]))).first()[0] == turns[2][0]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_pretokens_and_words_on_random_text():
+    import pyarrow as pa
+    import regex
+
+    pattern, r = regex.compile(public_tokenizers.PATTERN), random.Random(1)
+    texts = ["".join(r.choice(" \n\t\r  '''strevmld aA1é٣,.-日\x85\x1c\U0001f600") for _ in range(r.randrange(60))) for _ in range(400)] + ODD
+    for begin, end, data, offsets in textscan.steps(pa.array(texts), 2000):
+        at = pretokens.starts(data, offsets)
+        raw = data.tobytes()
+        assert [raw[a:b].decode() for a, b in zip(at, np.append(at[1:], len(raw)), strict=True)] == [m for t in texts[begin:end] for m in pattern.findall(t or "")]
+        starts, ends, first = textscan.words(data, offsets)
+        assert [raw[a:b].decode() for a, b in zip(starts, ends, strict=True)] == [w for t in texts[begin:end] for w in WORD.findall(t or "")]
+        assert list(np.diff(first)) == [len(WORD.findall(t or "")) for t in texts[begin:end]]
