@@ -208,7 +208,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     sets = stage(texts.mapInArrow(_ordered(width), f"doc_id long, n long, signature binary, prefix array<long>, unique long, bits array<long>, {fields}"), "sets")
 
     classes = stage(sets.groupBy("signature", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = sets.select("doc_id", "signature", "n").join(classes, ["signature", "n"]).select("doc_id", "class_id")
+    members = sets.select("doc_id", "signature", "n").join(classes, ["signature", "n"]).select("doc_id", "class_id").dropDuplicates(["doc_id"])
     firsts = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     firsts = stage(firsts, "firsts")
     postings = firsts.select("doc_id", "n", "unique", F.posexplode("prefix").alias("pos", "token"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("band"))
