@@ -168,4 +168,7 @@ def keep_good(documents: DataFrame, text_col: str = "text", iterations: int = 30
     """
     found = posteriors(stage(voted(documents, text_col, text_col).select("votes"), "votes"), iterations)
     rows = documents.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return judged(voted(rows, "row"), found, threshold).where("kept").select("doc_id.*")
+    # a filter moves down through projections by repeating their expressions, here array functions within array
+    # functions; it stops at a projection whose values depend on the row's place
+    votes = voted(rows, "row").withColumn("place", F.monotonically_increasing_id())
+    return judged(votes, found, threshold).where("kept AND place >= 0").select("doc_id.*")
