@@ -19,11 +19,12 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 def classes() -> np.ndarray:
     """The class of each code point."""
     table = np.zeros(0x110000, np.uint8)
-    valid = [*range(0xD800), *range(0xE000, 0x110000)]
-    every = "".join(map(chr, valid))
+    points = np.arange(0x110000, dtype=np.uint32)
+    points = points[(points < 0xD800) | (points > 0xDFFF)]
+    every = points.tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
-            table[[*map(ord, m[0])]] = kind
+            table[points[m.start() : m.end()]] = kind
     return table
 
 
