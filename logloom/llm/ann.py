@@ -9,8 +9,10 @@ The window is a share of the curve, so recall doesn't depend on the number of ve
 structure no fixed number of neighbours along a curve would do. Within a block the vectors are dealt to parts
 of bounded size. Equal vectors are searched once, as a class, and stand for their members in the result.
 
-Inner products become distances by one more coordinate, which lifts all vectors to the largest norm
-(queries, scaled to that norm, have 0 there).
+Inner products become distances by one more coordinate, which lifts vectors to the largest norm
+(queries, scaled to that norm, have 0 there). A norm far above the others would leave the curves nothing to tell
+vectors apart by, so vectors are searched in bands of norms that differ by a factor of two at most, each lifted to
+its own largest norm. The longest, and the few in between where norms jump, are compared with every query.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ ORDERINGS, DIMENSIONS, BITS = 24, 8, 5
 BLOCKS, LEAST_BLOCK = 60, 64
 #: Vectors that one task's block part holds at most, and about so many queries at a time.
 PART_ROWS, QUERY_ROWS = 8192, 1024
+#: Bands are made of so many steps of equal numbers of vectors; the longest norm of one is at most BAND_RATIO times its least.
+STEPS, BAND_RATIO = 20, 2.0
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,30 +71,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _keyed(mean: np.ndarray, scale: float, norm: float, orderings: int, seed: int):
-    """Rows (ordering, key, is_query, cid) of every class, and of every query class once more as a query."""
-    dim = len(mean) + 1
+def norm_bands(quantiles: list[float]) -> list[tuple[float, float, bool]]:
+    """(largest norm, norm that all exceed, whether every query is compared with all of it), from the longest on.
+
+    ``quantiles`` are the norms that cut the vectors into equal steps, the largest norm included, in rising order.
+    """
+    falling = quantiles[::-1]
+    bands: list[tuple[float, float, bool]] = []
+    for most in dict.fromkeys(falling):
+        below = next((q for q in falling if q < most), -1.0)
+        # several quantiles alike are a mass of vectors at that norm, and a step otherwise
+        one_step = falling.count(most) == 1 and below >= 0
+        if one_step and (most == falling[0] or most > BAND_RATIO * below):
+            bands.append((most, below, True))
+        elif bands and not bands[-1][2] and BAND_RATIO * (below if below >= 0 else most) >= bands[-1][0]:
+            bands[-1] = (bands[-1][0], below, False)
+        else:
+            bands.append((most, below, False))
+    return bands
+
+
+def _keyed(bands: dict[int, tuple[float, np.ndarray, np.ndarray]], orderings: int, seed: int):
+    """Rows (curve, key, is_query, cid) of every class on the curves of its band, and of query classes once more on all.
+
+    ``bands`` has the norm, and of the lifted coordinates the mean and variance.
+    """
     curves = []
-    for o in range(orderings):
-        random = np.random.default_rng([seed, o])
-        rotation = np.linalg.qr(random.normal(size=(dim, dim)))[0][:, : min(DIMENSIONS, dim)]
-        curves.append((rotation, random.random(rotation.shape[1])))
+    for b, (norm, mean, var) in bands.items():
+        for o in range(orderings):
+            random = np.random.default_rng([seed, o])
+            rotation = np.linalg.qr(random.normal(size=(len(mean), len(mean))))[0][:, : min(DIMENSIONS, len(mean))]
+            scale = np.maximum(np.sqrt(var @ rotation**2), 1e-12 * norm)  # each coordinate by its own spread
+            curves.append((b, b * orderings + o, rotation, mean @ rotation, scale, random.random(rotation.shape[1])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, asked = _matrix(batch["vec"]), batch["asked"].to_numpy(zero_copy_only=False)
-            size = np.sqrt((x * x).sum(axis=1))
-            lifted = np.column_stack([x - mean, np.sqrt(np.maximum(0, norm**2 - size**2))])
-            queries = np.column_stack([x[asked] * (norm / size[asked])[:, None] - mean, np.zeros(asked.sum())])
-            points = np.concatenate([lifted, queries])
-            cids = pa.concat_arrays([batch["cid"], batch["cid"].filter(batch["asked"])])
-            is_query = pa.array(np.arange(len(points)) >= len(x))
-            for o, (rotation, shift) in enumerate(curves):
-                unit = 0.5 * (1 + np.tanh(0.8 * (points @ rotation) / scale))
+            x, size, asked = _matrix(batch["vec"]), batch["size"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
+            band, cid = batch["band"].to_numpy(), batch["cid"].to_numpy()
+            lifted = {}
+            for b, (norm, _, _) in bands.items():
+                own = band == b
+                vectors = np.column_stack([x[own], np.sqrt(np.maximum(0, norm**2 - size[own] ** 2))])
+                queries = np.column_stack([x[asked] * (norm / size[asked])[:, None], np.zeros(asked.sum())])
+                lifted[b] = np.concatenate([vectors, queries]), pa.array(np.concatenate([cid[own], cid[asked]])), pa.array(np.arange(own.sum() + asked.sum()) >= own.sum())
+            for b, curve, rotation, middle, scale, shift in curves:
+                points, cids, is_query = lifted[b]
+                unit = 0.5 * (1 + np.tanh(0.8 * (points @ rotation - middle) / scale))
                 cells = np.minimum((unit + shift) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(points), o, np.int32)), pa.array(hilbert_keys(cells, BITS)), is_query, cids], names=["o", "key", "is_query", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(points), curve, np.int32)), pa.array(hilbert_keys(cells, BITS)), is_query, cids], names=["o", "key", "is_query", "cid"])
 
     return scan
 
@@ -151,28 +181,49 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == common["d"]).withColumns({"c1": F.xxhash64("vec"), "c2": F.xxhash64(F.lit("second"), "vec")})
     asked = is_query(F.col("vec_id"))
+    size = F.sqrt(inner_product(F.col("vec"), F.col("vec")))
     classes = rows.groupBy("c1", "c2").agg(F.min("vec_id").alias("cid"), F.first("vec").alias("vec"), F.max(asked).alias("asked"))
-    classes = stage(classes.dropDuplicates(["cid"]), "classes")
+    classes = stage(classes.dropDuplicates(["cid"]).withColumn("size", size), "classes")
     members = rows.select("c1", "c2", "vec_id").distinct().join(classes.select("c1", "c2", "cid"), ["c1", "c2"])
     members = stage(members.select("cid", "vec_id", asked.alias("asked")), "members")
 
-    # where the vectors lie: one row per dimension
-    shape = classes.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("var")).orderBy("i").collect()
-    n, norm = classes.agg(F.count("*"), F.sqrt(F.max(inner_product(F.col("vec"), F.col("vec"))))).first()
-    scale = max(float(np.sqrt(np.mean([r["var"] for r in shape]))), 1e-12 * norm)
-    keyed = classes.select("cid", "vec", "asked").mapInArrow(_keyed(np.array([r["mean"] for r in shape]), scale, norm, orderings, seed), "o int, key long, is_query boolean, cid long")
+    # bands of norms, and where their vectors lie: one row per band and dimension
+    cuts = F.percentile_approx("size", [i / STEPS for i in range(1, STEPS)], 10_000)
+    quantiles, longest = classes.agg(cuts, F.max("size")).first()
+    bands = norm_bands([*quantiles, longest])
+    band = sum((F.col("size") <= below).cast("int") for _, below, _ in bands)
+    classes = classes.withColumn("band", band)
+    norms = F.element_at(F.array(*[F.lit(most) for most, _, _ in bands]), F.col("band") + 1)
+    lift = F.sqrt(F.greatest(F.lit(0.0), norms * norms - F.col("size") * F.col("size")))
+    counts = {r["band"]: r["n"] for r in classes.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    shape = classes.select("band", F.posexplode(F.concat("vec", F.array(lift))).alias("i", "x")).groupBy("band", "i").agg(F.avg("x").alias("mean"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("var")).orderBy("band", "i").collect()
+    curved = {b: (bands[b][0], *[np.array([r[c] for r in shape if r["band"] == b]) for c in ("mean", "var")]) for b in sorted(counts) if not bands[b][2]}
+    whole = [b for b in sorted(counts) if bands[b][2]]
+    keyed = classes.select("cid", "vec", "size", "band", "asked").mapInArrow(_keyed(curved, orderings, seed), "o int, key long, is_query boolean, cid long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage(keyed, "keys").repartitionByRange(parts, "o", "key", "is_query", "cid").sortWithinPartitions("o", "key", "is_query", "cid")
     placed = stage(ranged.mapInArrow(_placed, "o int, is_query boolean, cid long, part int, place long"), "places")
     before = placed.groupBy("o", "part").agg(F.count("*").alias("n"))  # a row per range partition and ordering
     along = W.partitionBy("o").orderBy("part")
     before = before.select("o", "part", (F.sum("n").over(along) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("o")).alias("length"))
-    blocks = int(max(1, min(blocks, n // LEAST_BLOCK)))
-    deal = int(-(-2 * n // blocks // PART_ROWS))  # queries lengthen a curve to twice the vectors at most
-    placed = placed.join(before, ["o", "part"]).withColumn("block", F.floor((F.col("before") + F.col("place")) * blocks / F.col("length")).cast("int"))
-    vectors_at = placed.where(~F.col("is_query")).select("o", "block", F.pmod(F.col("place"), F.lit(deal)).cast("int").alias("dealt"), "cid")
-    windows = F.explode(F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.least(F.col("block") + 1, F.lit(blocks - 1))))
-    queries_at = placed.where("is_query").select("o", windows.alias("block"), F.col("cid").alias("qid")).withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    n = sum(counts.values())
+    blocks_of = {b: int(max(1, min(blocks, counts[b] // LEAST_BLOCK))) for b in counts}
+    # queries lengthen a curve by as many rows as all bands have vectors at most, but a block has no more than its band
+    dealt_of = {b: max(1, -(-(m if bands[b][2] else min(m, (m + n) // blocks_of[b] + 1)) // PART_ROWS)) for b, m in counts.items()}
+    by_band = lambda of, band: F.element_at(F.array(*[F.lit(of.get(b, 1)) for b in range(len(bands))]), band + 1)
+    own = F.floor(F.col("o") / orderings).cast("int")
+    n_blocks, deal = by_band(blocks_of, own), by_band(dealt_of, own)
+    placed = placed.join(before, ["o", "part"]).withColumn("block", F.floor((F.col("before") + F.col("place")) * n_blocks / F.col("length")).cast("int"))
+    vectors_at = placed.where(~F.col("is_query")).select("o", "block", F.pmod(F.col("place"), deal).cast("int").alias("dealt"), "cid")
+    windows = F.explode(F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.least(F.col("block") + 1, n_blocks - 1)))
+    queries_at = placed.where("is_query").select("o", windows.alias("block"), F.col("cid").alias("qid")).withColumn("dealt", F.explode(F.sequence(F.lit(0), deal - 1)))
+    # bands that are compared as a whole: the queries are dealt to groups, each of which meets all vectors
+    groups = max(1, min(blocks, n // LEAST_BLOCK) // 3)
+    deal = by_band(dealt_of, F.col("band"))
+    every = classes.where(F.col("band").isin(whole)).select((F.col("band") * orderings).alias("o"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), F.pmod(F.xxhash64("cid"), deal).cast("int").alias("dealt"), "cid")
+    asking = classes.where("asked").select(F.explode(F.array(*[F.lit(b) for b in whole]).cast("array<int>")).alias("band"), F.pmod(F.xxhash64("cid"), F.lit(groups)).cast("int").alias("block"), F.col("cid").alias("qid"))
+    asking = asking.select((F.col("band") * orderings).alias("o"), "block", "qid", F.explode(F.sequence(F.lit(0), deal - 1)).alias("dealt"))
+    vectors_at, queries_at = vectors_at.unionByName(every), queries_at.unionByName(asking)
     known = classes.select("cid", "vec")
     right = vectors_at.join(known, "cid").select("o", "block", "dealt", "cid", "vec").toDF("vo", "vblock", "vdealt", "cid", "vec")
     left = queries_at.join(known.withColumnRenamed("cid", "qid"), "qid").select("o", "block", "dealt", "qid", "vec").toDF("qo", "qblock", "qdealt", "qid", "qvec")

@@ -189,6 +189,27 @@ def test_neighbours_recall_and_order(spark):
     assert [(r["query_id"], r["rank"]) for r in ann.search(few, lambda i: i % 20 == 0).collect()] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("factor", [10, 100])
+def test_neighbours_recall_with_one_vector_far_longer(spark, factor):
+    x = np.random.default_rng(3).normal(size=(4000, 32))
+    x[7] *= factor
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(set)
+    for r in ann.search(df, lambda i: i % 100 == 0, k=20).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(found[q] & set(np.argsort(-scores[q])[:20].tolist())) for q in range(0, 4000, 100))
+    assert hits >= 0.95 * 20 * 40
+
+
+def test_norm_bands():
+    assert ann.norm_bands([1.0] * 20) == [(1.0, -1.0, False)]
+    assert ann.norm_bands([1.0] * 19 + [100.0]) == [(100.0, 1.0, True), (1.0, -1.0, False)]
+    assert ann.norm_bands([1.0, 1.5, 2.0, 10.0, 10.0, 11.0]) == [(11.0, 10.0, True), (10.0, 2.0, False), (2.0, -1.0, False)]
+    assert ann.norm_bands([1.0, 5.0, 6.0, 7.0]) == [(7.0, 6.0, True), (6.0, 5.0, False), (5.0, 1.0, True), (1.0, -1.0, False)]
+
+
 def test_hilbert_keys_visit_all_cells_step_by_step():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = ann.hilbert_keys(cells, 3)
