@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents of which no word is left go: all their lines stand elsewhere. Documents without words stay.
     """
-    docs = docs.select(*COLUMNS)
+    docs = line_dedup.numbered(docs.select(*COLUMNS))
     marks = line_dedup.dedup_lines(docs, min_docs=10, keep_first=True)
     kept = line_dedup.apply_keep(docs, marks)
     kept = kept.where((F.col("__n_dropped") == 0) | F.col("text").rlike(HAS_WORD))

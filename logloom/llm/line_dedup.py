@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm.staging import stage
@@ -34,16 +35,24 @@ MOST_HELD = 200_000
 
 OPEN, DROPPED = 0, 1
 
+#: The column that tells apart rows, those with null or equal ids too.
+ROW = "__row"
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """``documents`` with a key of each row, written once to the shared folder, so that all readings agree on it."""
+    return documents if ROW in documents.columns else stage(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
 
 def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(STRIPPED)), UPPER, LOWER)
 
 
 def hashed_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, doc_id, pos) of every line whose key is not empty; the text itself is not kept."""
-    lines = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where("key <> ''")
-    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos")
+    """(h1, h2, doc_id, row, pos) of every line whose key is not empty; the text itself is not kept."""
+    lines = documents.select(F.col(id_col).alias("doc_id"), F.col(ROW).alias("row"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
+    keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where("key <> ''")
+    return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "row", "pos")
 
 
 def _stream(min_docs: int, keep_first: bool):
@@ -51,13 +60,13 @@ def _stream(min_docs: int, keep_first: bool):
 
     def table(kind: int, part: dict) -> pa.RecordBatch:
         kinds = pa.array(np.full(len(part["pos"]), kind, np.int32))
-        return pa.RecordBatch.from_arrays([kinds, pa.array(part["h1"]), pa.array(part["h2"]), part["doc_id"], pa.array(part["pos"])], names=["kind", "h1", "h2", "doc_id", "pos"])
+        return pa.RecordBatch.from_arrays([kinds, pa.array(part["h1"]), pa.array(part["h2"]), part["doc_id"], pa.array(part["row"]), pa.array(part["pos"])], names=["kind", "h1", "h2", "doc_id", "row", "pos"])
 
     def taken(part: dict, at: np.ndarray) -> dict:
         return {k: (v.take(pa.array(at)) if isinstance(v, pa.Array) else v[at]) for k, v in part.items()}
 
     def of(batch: pa.RecordBatch) -> dict:
-        return {"h1": batch["h1"].to_numpy(), "h2": batch["h2"].to_numpy(), "doc_id": batch["doc_id"], "pos": batch["pos"].to_numpy()}
+        return {"h1": batch["h1"].to_numpy(), "h2": batch["h2"].to_numpy(), "doc_id": batch["doc_id"], "row": batch["row"].to_numpy(), "pos": batch["pos"].to_numpy()}
 
     def joined(a: dict, b: dict) -> dict:
         return {k: (pa.concat_arrays([a[k], b[k]]) if isinstance(v, pa.Array) else np.concatenate([a[k], b[k]])) for k, v in b.items()}
@@ -70,7 +79,7 @@ def _stream(min_docs: int, keep_first: bool):
             a, b = ids[1:], ids[:-1]
             same = pa.compute.fill_null(pa.compute.equal(a, b), False).to_numpy(zero_copy_only=False)
             both_null = a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False)
-            new_doc[1:] = ~(same | both_null)
+            new_doc[1:] = ~(same | both_null & (part["row"][1:] == part["row"][:-1]))
         new_run = np.ones(len(ids), bool)
         new_run[1:] = (part["h1"][1:] != part["h1"][:-1]) | (part["h2"][1:] != part["h2"][:-1])
         return np.flatnonzero(new_run), new_doc | new_run
@@ -107,37 +116,46 @@ def _stream(min_docs: int, keep_first: bool):
 
 
 def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """(doc_id, pos) of the lines to drop: those whose key is in at least ``min_docs`` documents.
+    """(row, pos) of the lines to drop from ``numbered`` documents: those whose key is in at least ``min_docs`` documents.
 
-    ``keep_first`` spares each key's first line in the order of document and position.
+    ``keep_first`` spares each key's first line in the order of document, row and position.
     """
     spark = documents.sparkSession
     lines = stage(hashed_lines(documents, id_col, text_col), "lines")
     n = max(lines.count() // RANGE_LINES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = lines.repartitionByRange(n, "h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    order = ["h1", "h2", "doc_id", "row", "pos"]
+    ranged = lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
     id_type = documents.schema[id_col].dataType.simpleString()
-    found = stage(ranged.mapInArrow(_stream(min_docs, keep_first), f"kind int, h1 long, h2 long, doc_id {id_type}, pos int"), "line-runs")
-    settled = found.where(F.col("kind") == DROPPED).select("doc_id", "pos")
+    found = stage(ranged.mapInArrow(_stream(min_docs, keep_first), f"kind int, h1 long, h2 long, doc_id {id_type}, row long, pos int"), "line-runs")
+    settled = found.where(F.col("kind") == DROPPED).select("row", "pos")
     open_ = found.where(F.col("kind") == OPEN)
     # at most two runs per partition are open; an edge may cut a document's lines, so documents are counted anew
-    per_doc = open_.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos")).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    lone = F.when(F.col("doc_id").isNull(), F.col("row")).alias("lone")  # a null id is a document of its own
+    per_doc = open_.groupBy("h1", "h2", "doc_id", lone).agg(F.min(F.struct("row", "pos")).alias("at")).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "at.row", "at.pos")).alias("first"))
     common = per_doc.where(F.col("docs") >= min_docs).select("h1", "h2", "first")
-    edge = open_.select("h1", "h2", "doc_id", "pos").join(common, ["h1", "h2"])  # AQE broadcasts the keys if they are few
+    edge = open_.select("h1", "h2", "doc_id", "row", "pos").join(common, ["h1", "h2"])  # AQE broadcasts the keys if they are few
     if keep_first:
-        edge = edge.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return settled.unionByName(edge.select("doc_id", "pos"))
+        edge = edge.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+    return settled.unionByName(edge.select("row", "pos"))
+
+
+DIGESTS = ("__text1", "__text2")
+
+
+def _digests(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(DIGESTS[0]), F.xxhash64(F.lit("second"), text).alias(DIGESTS[1])]
 
 
 def bitmaps(documents: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_dropped, keep) per document; ``keep`` is null where every line stays.
+    """(doc_id, __row, n_lines, n_dropped, keep) per row of ``numbered`` documents; ``keep`` is null where every line stays.
 
     ``keep`` is the zlib-compressed bitmap of the lines, first line in the highest bit, 1 for lines that stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    docs = documents.select(F.col(id_col).alias("doc_id"), lines.alias("n_lines"))
-    per_doc = dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    marked = docs.join(per_doc.withColumnRenamed("doc_id", "marked_id"), F.col("doc_id").eqNullSafe(F.col("marked_id")), "left").drop("marked_id")
+    docs = documents.select(F.col(id_col).alias("doc_id"), ROW, lines.alias("n_lines"), *_digests(text))
+    per_row = dropped.groupBy(F.col("row").alias(ROW)).agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    marked = docs.join(per_row, ROW, "left")
 
     @F.pandas_udf("binary")
     def packed(n: pd.Series, at: pd.Series) -> pd.Series:
@@ -151,7 +169,7 @@ def bitmaps(documents: DataFrame, dropped: DataFrame, id_col: str = "doc_id", te
         return pd.Series([one(*x) for x in zip(n, at, strict=True)], dtype=object)
 
     keep = F.when(F.col("at").isNotNull(), packed("n_lines", "at"))
-    return marked.select("doc_id", "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), keep.alias("keep"))
+    return marked.select("doc_id", ROW, *DIGESTS, "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), keep.alias("keep"))
 
 
 def kept_text(text: str, n_lines: int, keep: bytes) -> str:
@@ -162,30 +180,44 @@ def kept_text(text: str, n_lines: int, keep: bytes) -> str:
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """One keep bitmap per document: (doc_id, n_lines, n_dropped, keep); see ``bitmaps``.
+    """One keep bitmap per row: (doc_id, n_lines, n_dropped, keep) and what ties it to its row; see ``bitmaps``.
 
     A line's key is the line stripped of spaces and U+0009 to U+000D at both ends, with A-Z lower-cased. Lines
     whose key occurs in at least ``min_docs`` documents are dropped in all of them, or with ``keep_first`` in
-    all places but the first by document and position. Lines with an empty key stay.
+    all places but the first by document, row and position. Lines with an empty key stay.
 
-    Null and empty texts are one empty line. Ids must be unique: rows that share an id count as one document,
-    and a line dropped in one of them goes by its position in all (positions past a row's end are an error).
-    A null id is a document of its own. An empty table gives no rows; other columns are not read.
+    Null and empty texts are one empty line. Rows that share an id count as one document, but each has a bitmap
+    of its own. A null id is a document of its own. An empty table gives no rows; other columns are not read.
     """
+    documents = documents if ROW in documents.columns else numbered(documents.select(id_col, text_col))
     return bitmaps(documents, dropped_lines(documents, id_col, text_col, min_docs, keep_first), id_col, text_col)
 
 
 def apply_keep(documents: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with the text that its bitmap keeps (null texts become empty), and n_lines, n_dropped."""
-    names = [c for c in documents.columns if c != text_col]
-    m = marks.select(F.col("doc_id").alias("__mark_id"), F.col("n_lines").alias("__n"), F.col("n_dropped").alias("__d"), F.col("keep").alias("__keep"))
-    joined = documents.join(m, documents[id_col].eqNullSafe(F.col("__mark_id"))).drop("__mark_id")
+    """``documents`` with the text that its bitmap keeps (null texts become empty), and n_lines, n_dropped.
+
+    ``numbered`` documents meet their bitmaps by row. Others do so by id and text, rows alike in both one by one.
+    """
+    names = [c for c in documents.columns if c not in (text_col, ROW)]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    m = marks.select(F.col("n_lines").alias("__n"), F.col("n_dropped").alias("__d"), F.col("keep").alias("__keep"), F.col("doc_id").alias("__mark_id"), ROW, *DIGESTS)
+    if ROW in documents.columns:
+        joined = documents.join(m.drop(*DIGESTS), ROW)
+    else:
+        alike = W.partitionBy("__mark_id", *DIGESTS).orderBy(ROW)
+        m = m.withColumn("__copy", F.row_number().over(alike)).drop(ROW)
+        d = documents.withColumn("__id", F.col(id_col)).select("*", *_digests(text))
+        d = d.withColumn("__copy", F.row_number().over(W.partitionBy("__id", *DIGESTS).orderBy(F.lit(0)))).alias("d")
+        m = m.alias("m")
+        same = F.col("d.__id").eqNullSafe(F.col("m.__mark_id"))
+        for c in (*DIGESTS, "__copy"):
+            same = same & (F.col(f"d.{c}") == F.col(f"m.{c}"))
+        joined = d.join(m, same).select(*[F.col(f"d.{c}") for c in documents.columns], "__n", "__d", "__keep")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, n: pd.Series, keep: pd.Series) -> pd.Series:
         return pd.Series([None if k is None else kept_text(t, int(x), k) for t, x, k in zip(text, n, keep, strict=True)], dtype=object)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
     # texts that stay whole don't go through Python
     touched = F.when(F.col("__keep").isNotNull(), text)
     out = F.coalesce(kept(touched, F.col("__n"), F.col("__keep")), text)

@@ -54,7 +54,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = line_dedup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = line_dedup.apply_keep(docs, line_dedup.dedup_lines(docs, min_docs=10))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 

@@ -315,6 +315,21 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, keep_first):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [7, 200_000])
+@pytest.mark.parametrize("by_row", [False, True])
+def test_line_dedup_of_repeated_rows_and_null_ids(spark, monkeypatch, held, by_row):
+    long = "\n".join(["common", *(f"own {i}" for i in range(9)), "common too"])
+    rows = [(1, "common\nx"), (1, "common\nx"), (1, "other\ncommon"), (None, long), (None, "y\ncommon"), (None, "z"), (None, None), (None, "common too\nz"), (2, "z\nv"), (3, "w\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "MOST_HELD", held)
+    df = line_dedup.numbered(df) if by_row else df
+    # "common" is in three documents, "z" too; "x" and "common too" in two
+    kept = lambda **how: sorted(((r["doc_id"], r["text"], r["__n_lines"], r["__n_dropped"]) for r in line_dedup.apply_keep(df, line_dedup.dedup_lines(df, min_docs=3, **how)).collect()), key=str)
+    want = [(i, "\n".join(x for x in lines if x not in ("common", "z")), len(lines), sum(x in ("common", "z") for x in lines)) for i, lines in ((i, (t or "").split("\n")) for i, t in rows)]
+    assert kept() == sorted(want, key=str)
+    assert sum(d for _, _, _, d in kept(keep_first=True)) == sum(d for _, _, _, d in want) - 2
+
+
 # ---------------------------------------------------------------- n-gram Jaccard join
 
 
