@@ -38,18 +38,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets, that with the smallest id stays."""
-    docs = docs.select(*COLUMNS)
-    found = ngram_join.similar_documents(docs)
-    others = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows linked by similar shingle sets, one with the smallest id stays; of those without words, one of each id.
+
+    Rows that share an id are compared like any others. Rows with a null id link with nothing and stay.
+    """
+    docs = line_dedup.numbered(docs.select(*COLUMNS))
+    row = line_dedup.ROW
+    found = ngram_join.similar_documents(docs.where("doc_id IS NOT NULL").select(F.col(row).alias("doc_id"), "text"))
+    found = found.withColumnRenamed("doc_id", row).join(docs.select(row, "doc_id"), row)
+    empty = F.col("n_shingles") == 0
+    group = F.when(empty, F.col("doc_id").cast("long")).otherwise(F.col("component_id"))
+    firsts = found.groupBy(empty, group).agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}")
+    kept = docs.join(firsts, row, "left_semi").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes; a copy that its source's target cuts counts if half of it is taken."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(docs).where("taken > 0 AND 2 * taken >= size").select("doc_id")
-    return docs.join(copies, "doc_id").select(*COLUMNS)
+    docs = line_dedup.numbered(docs.select(*COLUMNS))
+    copies = mixing.mix(docs, row_col=line_dedup.ROW).where("taken > 0 AND 2 * taken >= size").select(F.col("key").alias(line_dedup.ROW))
+    return docs.join(copies, line_dedup.ROW).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def _ranges(rows: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / RANGE_ROWS)).cast("long")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, seed: str = "mix") -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per document and copy: doc_id, source, size, source_size, target, place, copy, finish, mix_offset, taken.
 
     ``place`` is the document's place in its source's shuffle, and so tells apart rows that are alike.
@@ -66,9 +66,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts and texts without words have size 0 and take nothing; a null source is a source of its own;
     documents with equal ids are ordered by size and else alike, so reruns agree; an empty table gives no rows.
-    The order within a source is by the MD5 digest of the seed and the id.
+    The order within a source is by the MD5 digest of the seed and the id. ``row_col`` names a column of type long
+    that tells rows apart; it is returned as ``key``, and orders documents with equal ids and sizes.
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.lit(None).cast("long").alias("key") if row_col is None else F.col(row_col).alias("key"))
     docs = stage(docs.withColumn("shuffled", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-sizes")
 
     per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -81,7 +82,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     d = d.withColumn("range", F.floor(span * _ranges(F.col("n")) / F.lit(2**32)).cast("long"))
     totals = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = totals.select("source", "range", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = W.partitionBy("source", "range").orderBy("shuffled", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "range").orderBy("shuffled", F.col("doc_id").asc_nulls_first(), "size", "key").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("size").over(within)).withColumn("row", F.row_number().over(within)).alias("d")
     d = d.join(before.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.range") == F.col("b.range"))).select("d.*", "before")
     d = d.withColumn("start", F.col("before") + F.col("end") - F.col("size")).withColumn("place", F.struct("range", "row")).drop("before", "end", "range", "row")
@@ -92,7 +93,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     goal = F.round("target").cast("long")
     copies = copies.withColumn("piece", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("start"))))
     copies = copies.withColumn("finish", F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).otherwise(F.lit(float(most_copies))))
-    copies = stage(copies.select("doc_id", "source", "size", "source_size", "target", "copy", "finish", "place", "shuffled", "piece"), "mix-copies")
+    copies = stage(copies.select("doc_id", "source", "size", "source_size", "target", "copy", "finish", "place", "shuffled", "piece", "key"), "mix-copies")
 
     # the global order: ranges of the finish time up to 1 hold equal shares of the budget
     n = per_source.agg(F.sum("n")).select(_ranges(F.col("sum(n)") * most_copies).alias("ranges"))
@@ -102,10 +103,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taking = copies.where("piece > 0")
     totals = taking.groupBy("range").agg(F.sum("piece").alias("words"))
     before = totals.select("range", F.coalesce(F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = W.partitionBy("range").orderBy(F.least(F.col("finish"), F.lit(1.0)), F.col("source").asc_nulls_last(), "copy", "shuffled", F.col("doc_id").asc_nulls_first(), "size")
+    within = W.partitionBy("range").orderBy(F.least(F.col("finish"), F.lit(1.0)), F.col("source").asc_nulls_last(), "copy", "shuffled", F.col("doc_id").asc_nulls_first(), "size", "key")
     taking = taking.withColumn("end", F.sum("piece").over(within.rowsBetween(W.unboundedPreceding, 0)))
     taking = taking.join(before, "range").withColumn("mix_offset", F.col("before") + F.col("end") - F.col("piece"))
     taking = taking.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("piece"), budget - F.col("mix_offset"))))
-    columns = ["doc_id", "source", "size", "source_size", "target", "place", "copy", "finish", "mix_offset", "taken"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "place", "copy", "finish", "mix_offset", "taken", *(["key"] if row_col else [])]
     rest = copies.where("piece <= 0").withColumn("mix_offset", F.lit(None).cast("long")).withColumn("taken", F.lit(0).cast("long"))
     return taking.select(columns).unionByName(rest.select(columns))

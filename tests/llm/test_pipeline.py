@@ -72,3 +72,22 @@ def test_last_stages_and_run(spark, docs, tmp_path):
     assert all(r["decoded_sha256"] == hashlib.sha256(before[60].encode()).hexdigest() for r in clean)
     assert not {84, 85, 86, 87} & {r["doc_id"] for r in out}
     assert RANKS == public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    texts = corpus(31, 12)
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[4]), (4, ""), (4, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    counted = lambda out: collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    once = counted(corpus_pipeline.one_of_each_group(spark, df, ""))
+    assert once == collections.Counter([(1, texts[0]), *rows[4:10], rows[11]])
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    copies, have = counted(mixed), collections.Counter(rows)
+    assert all(n <= 2 * have[row] for row, n in copies.items())
+    # one source has 1.5 times its words as its target: each row with words at least once, and half of the words twice
+    assert all(copies[row] >= n for row, n in have.items() if row[1])
+    words = lambda c: sum(n * len(WORD.findall(t or "")) for (_, t), n in c.items())
+    assert abs(words(copies) - 1.5 * words(have)) <= max(len(WORD.findall(t or "")) for _, t in rows)
+    lines = spark.createDataFrame([(None, f"shared\nown {i}", "en", "s", 0) for i in range(10)] + [(1, "shared\nx", "en", "s", 0)] * 2, df.schema)
+    left = counted(corpus_pipeline.drop_repeated_lines(spark, lines, ""))
+    assert sum(left.values()) == 12 and sum(n for (_, t), n in left.items() if "shared" in t) == 1
