@@ -181,10 +181,13 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == common["d"]).withColumns({"c1": F.xxhash64("vec"), "c2": F.xxhash64(F.lit("second"), "vec")})
     asked = is_query(F.col("vec_id"))
+    # one vector of each id, then classes of equal vectors
+    chosen = stage(rows.groupBy("vec_id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("vec_id", "c.*"), "chosen")
+    heads = chosen.groupBy("c1", "c2").agg(F.min("vec_id").alias("cid"), F.max(asked).alias("asked"))
     size = F.sqrt(inner_product(F.col("vec"), F.col("vec")))
-    classes = rows.groupBy("c1", "c2").agg(F.min("vec_id").alias("cid"), F.first("vec").alias("vec"), F.max(asked).alias("asked"))
-    classes = stage(classes.dropDuplicates(["cid"]).withColumn("size", size), "classes")
-    members = rows.select("c1", "c2", "vec_id").distinct().join(classes.select("c1", "c2", "cid"), ["c1", "c2"])
+    classes = rows.groupBy("c1", "c2").agg(F.first("vec").alias("vec")).join(heads, ["c1", "c2"])
+    classes = stage(classes.select("c1", "c2", "cid", "vec", "asked", size.alias("size")), "classes")
+    members = chosen.join(classes.select("c1", "c2", "cid"), ["c1", "c2"])
     members = stage(members.select("cid", "vec_id", asked.alias("asked")), "members")
 
     # bands of norms, and where their vectors lie: one row per band and dimension

@@ -203,6 +203,24 @@ def test_neighbours_recall_with_one_vector_far_longer(spark, factor):
     assert hits >= 0.95 * 20 * 40
 
 
+def test_neighbours_of_ids_with_several_vectors_and_of_a_shared_vector(spark):
+    x = np.random.default_rng(5).normal(size=(60, 6))
+    x[10:40] = x[10]
+    other = np.random.default_rng(6).normal(size=(2, 6))
+    # (1, A), (5, A), (1, B), (7, B): whichever vector id 1 keeps, ids 5 and 7 are sound
+    x[5], x[7] = x[1], other[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, other[0].tolist()), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in ann.search(df, lambda i: i >= 0, k=8).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert sorted(found) == list(range(60))
+    exact = lambda x: {q: sorted(set(range(60)) - {q}, key=lambda i: (-round(float(x[q] @ x[i]), 9), i))[:8] for q in range(60)}
+    second = x.copy()
+    second[1] = other[0]
+    assert dict(found) in (exact(x), exact(second))
+
+
 def test_norm_bands():
     assert ann.norm_bands([1.0] * 20) == [(1.0, -1.0, False)]
     assert ann.norm_bands([1.0] * 19 + [100.0]) == [(100.0, 1.0, True), (1.0, -1.0, False)]
