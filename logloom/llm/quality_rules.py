@@ -1,10 +1,15 @@
 """Quality rules as weak supervision, in DataFrame expressions only.
 
 Each rule looks at counts of one text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation
-over the counts of vote patterns estimates, for each rule, how often it votes bad on good and on bad texts;
-each text then gets the posterior probability of being good, in place of "all rules must pass".
+over the counts of vote patterns estimates, for good texts and for each kind of bad ones, how often each rule
+votes bad, votes good and abstains; each text then gets the posterior probability of being good, in place of
+"all rules must pass". Bad texts are of two kinds, noisy and repetitive, as the rules for one kind of damage say
+nothing of the other: with one kind, the estimation settles on the commoner damage and takes the rest for good.
 
-The vote patterns number at most 3 ** len(RULES), whatever the corpus' size: that bound is what lets the
+All rates are estimated freely. The kinds are told apart by where the estimation starts and by a few
+pseudo-texts, which any real number of texts outweighs.
+
+The vote patterns number at most MOST_PATTERNS, whatever the corpus' size: that bound is what lets the
 estimation run on one row and its result be broadcast. No text leaves the scan: one pass computes counts
 and votes, which are written to the shared folder and used for both the estimation and the result.
 """
@@ -20,24 +25,28 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
-#: name -> (votes bad when, votes good when), over the counts of ``counted``; SQL conditions.
+#: A word of letters, with the marks that may stand before and after one.
+PLAIN_WORD = r"""(?<![^\x20\x09-\x0D])[("'\u00bf\u00a1\u00ab]?\p{L}[\p{L}\p{M}'\u2019-]*+[.,;:!?)"'\u00bb]*+(?![^\x20\x09-\x0D])"""
+
+GOOD, NOISY, REPETITIVE = range(3)
+#: name -> (votes bad when, votes good when, the kind of bad text it looks for); SQL conditions over the counts of
+#: ``counted``. A rule whose second condition is None looks for damage: where it sees none it abstains.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 40"),
-    "word_length": ("word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
-    "sentence_ends": ("n_words >= 20 AND 100 * n_stops < n_words", "50 * n_stops >= n_words"),
-}
-#: Rules that look for one kind of damage: bad when the condition holds, else quiet, which is a (weak) good vote.
-DAMAGE = {
-    "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
-    "repeated_words": "5 * n_repeat_words > n_words",
-    "upper_case": "10 * n_upper > 3 * word_chars",
-    "exclamations": "10 * n_exclaims > n_words",
+    "length": ("n_words < 20", "n_words >= 40", None),
+    "word_length": ("word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words", None),
+    "sentence_ends": ("n_words >= 20 AND 100 * n_stops < n_words", "50 * n_stops >= n_words", None),
+    "plain_words": ("4 * n_plain < 3 * n_words", "10 * n_plain >= 9 * n_words", NOISY),
+    "symbols": ("10 * n_symbols > n_words", None, NOISY),
+    "duplicate_lines": ("10 * n_dup_lines > 3 * n_lines", None, REPETITIVE),
+    "repeated_words": ("5 * n_repeat_words > n_words", None, REPETITIVE),
+    "upper_case": ("10 * n_upper > 3 * word_chars", None, REPETITIVE),
+    "exclamations": ("10 * n_exclaims > n_words", None, REPETITIVE),
 }
-RULES |= {name: (bad, f"NOT ({bad})") for name, bad in DAMAGE.items()}
-#: A damage rule is assumed to be wrong on at most this share of good texts. Without that, two classes of
-#: texts are as well explained by "repetitive or not" as by "good or bad", and other damage counts as good.
-MAX_FALSE_ALARM = 0.002
+MOST_PATTERNS = 3**4 * 2**5
+#: Where the estimation starts: the shares of the kinds, and how often rules vote bad on the kind they look for, on
+#: bad texts in general (rules that look for no kind), and on others. Rules that can vote good do so on START_UP of the rest.
+START_SHARES, START_OWN, START_BAD, START_OTHER, START_UP = (0.8, 0.1, 0.1), 0.5, 0.05, 0.02, 0.7
+PSEUDO_TEXTS = 10
 
 
 def counted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,6 +73,7 @@ def counted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept_length(r"[^A-Z]+").alias("n_upper"),
         kept_length(r"[^.!?]+").alias("n_stops"),
         kept_length(r"[^!]+").alias("n_exclaims"),
+        F.regexp_count("text", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     t = t.withColumn(
@@ -89,56 +99,54 @@ def counted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).drop("at")
 
 
+def start_rates(kind: int) -> list[list[float]]:
+    """For each rule how often it votes bad, abstains and votes good on texts of a kind, where the estimation starts."""
+    rates = []
+    for _, good, own in RULES.values():
+        down = START_OWN if own == kind else START_BAD if own is None and kind != GOOD else START_OTHER
+        up = START_UP * (1 - down) if good else 0.0
+        rates.append([down, 1 - down - up, up])
+    return rates
+
+
 def _estimate(iterations: int) -> str:
     """SQL over ``p``, the array of (votes, n): expectation-maximisation, then each pattern's posterior.
 
-    ``good`` and ``bad`` are the two classes' parameters: for each rule how often it votes bad (``down``) and
-    good (``up``). An abstention is no evidence. The start (rules mostly right, most texts good) fixes which
-    class is which; ten pseudo-texts of each class keep rates off 0 and 1; ``MAX_FALSE_ALARM`` holds for damage.
-    """
-    rules = len(RULES)
-    posterior = f"""
-        1D / (1D + exp(-least(500D, greatest(-500D, aggregate(sequence(0, {rules} - 1), ln(t.pi / (1D - t.pi)),
-            (s, r) -> s + CASE pattern.votes[r] WHEN 1 THEN ln(t.good.up[r] / t.bad.up[r]) WHEN -1 THEN ln(t.good.down[r] / t.bad.down[r]) ELSE 0D END)))))
+    ``t`` has for each kind its share and, for each rule, the rates of its three votes.
     """
-
-    def total(start: float, what: str) -> str:
-        return f"aggregate(sequence(0, size(p) - 1), {start}D, (s, i) -> s + p[i].n * ({what}))"
-
-    def rates(weight: str, down: float, up: float, most: float = 1) -> str:
-        def rate(vote: int, prior: float, most: float = 1) -> str:
-            on = total(10 * prior, f"CASE WHEN p[i].votes[r] = {vote} THEN {weight} ELSE 0D END")
-            cap = f"CASE WHEN r >= {rules - len(DAMAGE)} THEN {most}D ELSE 1D END"
-            return f"transform(sequence(0, {rules} - 1), r -> least({cap}, {on} / {total(10, weight)}))"
-
-        return f"named_struct('down', {rate(-1, down, most)}, 'up', {rate(1, up)})"
-
+    rules = f"sequence(0, {len(RULES)} - 1)"
+    # transform(array(x), y -> ...)[0] names a value, so that it is computed once
+    scores = f"transform(t, kind -> aggregate({rules}, ln(kind.share), (s, r) -> s + ln(kind.rates[r][pattern.votes[r] + 1])))"
+    odds = f"transform(array({scores}), s -> transform(s, x -> exp(x - array_max(s))))[0]"
+    posterior = f"transform(array({odds}), o -> transform(o, x -> x / aggregate(o, 0D, (a, b) -> a + b)))[0]"
+
+    def total(start: str, what: str) -> str:
+        return f"aggregate(sequence(0, size(p) - 1), {start}, (s, i) -> s + p[i].n * ({what}))"
+
+    prior = "array({})".format(", ".join("array({})".format(", ".join("array({})".format(", ".join(f"{x!r}D" for x in rule)) for rule in start_rates(k))) for k in range(3)))
+    shares = "array({})".format(", ".join(f"{x!r}D" for x in START_SHARES))
+    rate = total(f"{PSEUDO_TEXTS} * {prior}[k][r][v]", "CASE WHEN p[i].votes[r] = v - 1 THEN q[i][k] ELSE 0D END")
     step = f"""
-        transform(array(transform(p, pattern -> {posterior})), q -> named_struct(
-            'pi', {total(8, 'q[i]')} / {total(10, '1D')},
-            'good', {rates('q[i]', 0.02, 0.8, MAX_FALSE_ALARM)},
-            'bad', {rates('(1D - q[i])', 0.3, 0.6)}))[0]
-    """
-    start = f"""
-        named_struct('pi', 0.8D,
-            'good', named_struct('down', array_repeat({MAX_FALSE_ALARM}D, {rules}), 'up', array_repeat(0.8D, {rules})),
-            'bad', named_struct('down', array_repeat(0.3D, {rules}), 'up', array_repeat(0.6D, {rules})))
+        transform(array(transform(p, pattern -> {posterior})), q -> transform(sequence(0, 2), k -> transform(array({total(f"{PSEUDO_TEXTS}D", "q[i][k]")}), n_kind -> named_struct(
+            'share', {total(f"{PSEUDO_TEXTS} * {shares}[k]", "q[i][k]")} / {total(f"{PSEUDO_TEXTS}D", "1D")},
+            'rates', transform({rules}, r -> transform(sequence(0, 2), v -> {rate} / n_kind))))[0]))[0]
     """
+    start = f"transform(sequence(0, 2), k -> named_struct('share', {shares}[k], 'rates', {prior}[k]))"
     return f"""
         transform(array(aggregate(sequence(1, {iterations}), {start}, (t, _) -> {step})), t ->
-            transform(p, pattern -> named_struct('votes', pattern.votes, 'p_good', {posterior})))[0]
+            transform(p, pattern -> named_struct('votes', pattern.votes, 'p_good', {posterior}[{GOOD}])))[0]
     """
 
 
 def voted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``counted`` with the rules' ``votes`` and ``base_failed``."""
     t = counted(documents, id_col, text_col)
-    votes = [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for bad, good in RULES.values()]
+    votes = [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good or 'false'} THEN 1 ELSE 0 END") for bad, good, _ in RULES.values()]
     return t.withColumn("votes", F.array(*votes)).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
 
 
 def posteriors(votes: DataFrame, iterations: int = 30) -> DataFrame:
-    """(pattern, p_good) of each vote pattern of the corpus; at most 3 ** len(RULES) rows."""
+    """(pattern, p_good) of each vote pattern of the corpus; at most MOST_PATTERNS rows."""
     patterns = votes.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     estimated = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p")).where("size(p) > 0")
     return estimated.select(F.inline(F.expr(_estimate(iterations)))).withColumnRenamed("votes", "pattern")
