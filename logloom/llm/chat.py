@@ -102,3 +102,14 @@ def read_turns(formatted: Column) -> Column:
         return F.transform(F.split(body, r"<\|next\|>"), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
     return F.flatten(F.transform(blocks, turns))
+
+
+def under_mask(formatted: Column, loss_mask: Column) -> Column:
+    """The text that the loss falls on: what ``loss_mask`` marks of ``formatted``, unescaped, one piece after another.
+
+    An escaped piece neither begins nor ends inside an escape, so joined pieces are unescaped as they would be alone.
+    """
+    marks = F.array_join(F.transform(loss_mask, lambda p: F.repeat(F.when(p["loss"], F.lit("1")).otherwise(F.lit("0")), p["n_chars"])), "")
+    # character by character: cutting pieces out by their places would read a long conversation once for each
+    chars = F.zip_with(F.split(formatted, ""), F.split(marks, ""), lambda c, mark: F.when(mark == "1", c).otherwise(F.lit("")))
+    return unescape(F.array_join(chars, ""))

@@ -30,8 +30,7 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(table(spark, sf_dir, "documents"))
-    return copies.groupBy("source", "place", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +77,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT -1L AS conv_id, turn, role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(turn, role)", args={"said": said}
     )
     done = chat.format_conversations(rows.unionByName(extra))
-    read = done.select("conv_id", "formatted", "loss_mask", chat.read_turns(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.filter("turns", lambda t: t["role"] == "assistant")["text"], "")
+    read = done.select("conv_id", "formatted", chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"), chat.read_turns(F.col("formatted")).alias("turns"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

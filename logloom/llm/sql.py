@@ -28,7 +28,8 @@ FROM e GROUP BY conv_id
 
 ORACLE_SQL["op3_source_mixing"] = r"""
 WITH d AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS shuffled FROM documents
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS shuffled,
+        row_number() OVER () AS key FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (
@@ -39,14 +40,22 @@ WITH d AS (
     SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER (ORDER BY fills_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
         / sum(weight) OVER (ORDER BY fills_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f
 ), t AS (
-    SELECT source, source_size, coalesce(least(weight * (SELECT min_by(level, struct_pack(fills_at, place)) FROM l WHERE level <= fills_at), most), most)::DOUBLE AS target FROM l
+    SELECT source, source_size, place, coalesce(least(weight * (SELECT min_by(level, struct_pack(fills_at, place)) FROM l WHERE level <= fills_at), most), most)::DOUBLE AS target FROM l
 ), o AS (
-    SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+    SELECT doc_id, size, source_size, target, place, shuffled, key, greatest(1, least(1000, floor(target / 500)))::BIGINT AS packet,
+        sum(size) OVER (PARTITION BY place ORDER BY shuffled, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+    SELECT key, place, source_size, target, size, packet, start + copy * source_size AS start, unnest(generate_series(0, size - 1, packet)) AS skip
+    FROM o, (VALUES (0), (1)) c(copy) WHERE size > 0
+), e AS (
+    SELECT key, place, target, least(packet, size - skip) AS words, start + skip + least(packet, size - skip) AS finish_words FROM q
+), g AS (
+    SELECT key, words, sum(words) OVER (ORDER BY finish_words::DOUBLE / target, place, finish_words ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS mix_offset FROM e
+), k AS (
+    SELECT key, sum(greatest(0, least(words, (SELECT floor(sum(size) * 1.5) FROM d) - mix_offset)))::BIGINT AS taken FROM g GROUP BY key
 )
-SELECT doc_id, size, source_size, target,
-    (greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - start - source_size)))::BIGINT AS taken
-FROM o
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN k USING (key)
 """
 
 ORACLE_SQL["op5_warc"] = """
