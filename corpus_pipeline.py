@@ -54,9 +54,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes; a copy that its source's target cuts counts if half of it is taken."""
+    """One row for each copy of which the mix takes at least half; a copy that the budget cuts stays whole or goes.
+
+    Rows with null or repeated ids are mixed as themselves; rows without words are in no mix and go. No rows give none.
+    """
     docs = line_dedup.numbered(docs.select(*COLUMNS))
-    copies = mixing.mix(docs, row_col=line_dedup.ROW).where("taken > 0 AND 2 * taken >= size").select(F.col("key").alias(line_dedup.ROW))
+    mixed = mixing.mix(docs, row_col=line_dedup.ROW).where("taken > 0")
+    copies = mixed.select(F.col("key").alias(line_dedup.ROW), F.explode(F.filter("copies", lambda words: (words > 0) & (2 * words >= F.col("size")))).alias("words"))
     return docs.join(copies, line_dedup.ROW).select(*COLUMNS)
 
 
