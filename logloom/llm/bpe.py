@@ -48,11 +48,6 @@ def _token_bytes(ranks_file: bytes) -> pa.Array:
     return pa.array([pairs.get(i) for i in range(max(pairs) + 1)], pa.large_binary())
 
 
-def _return_memory() -> None:
-    """Let Arrow give freed memory back at once: workers stay alive between tasks, and share their executor's memory."""
-    pa.set_memory_pool(pa.system_memory_pool())
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one item size, compressed by byte planes with their lengths before them."""
     out = [np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes()]
@@ -110,7 +105,7 @@ def _coded(buckets: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _return_memory()
+        textscan.return_memory()
         chunk, held, ids, counts, parts = TaskContext.get().partitionId() << 32, 0, [], [], []
         for batch in batches:
             for begin, end, data, offsets in textscan.steps(batch["text"], STEP_BYTES):
@@ -125,6 +120,8 @@ def _coded(buckets: int, id_type: pa.DataType):
                     chunk, held, ids, counts, parts = chunk + 1, 0, [], [], []
         if ids:
             yield rows(chunk, ids, counts, parts)
+        del ids, counts, parts
+        textscan.return_memory()
 
     return scan
 
@@ -132,7 +129,7 @@ def _coded(buckets: int, id_type: pa.DataType):
 def _encoded(ranks: Broadcast, pattern: str):
     def encode(group: pa.Table) -> pa.Table:
         """One bucket: each distinct word of all chunks encoded once; every chunk gets its words' ids."""
-        _return_memory()
+        textscan.return_memory()
         encoding, known, packed = _encoding(ranks.value, pattern), {}, []
         for codes, words in zip(group["codes"], group["words"], strict=True):
             own, lengths = _unpack(codes.as_py())
@@ -156,7 +153,7 @@ def _encoded(ranks: Broadcast, pattern: str):
 def _reassembled(id_type: pa.DataType, ranks: Broadcast, with_decoded: bool):
     def reassemble(codes: pa.Table, words: pa.Table) -> pa.Table:
         """One chunk: the ids of its words put at the words' positions, document by document."""
-        _return_memory()
+        textscan.return_memory()
         if pa.compute.count_distinct(pa.concat_arrays([*codes["digest"].chunks, *words["digest"].chunks])).as_py() != 1:
             raise RuntimeError("a chunk's words don't belong to its codes: the input changed between two readings")
         counts, at = _unpack(codes["codes"][0].as_py())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step of a scan holds at a time (one longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 # Space and U+0009 to U+000D, the characters between words.
 IS_SPACE = np.zeros(256, bool)
@@ -33,6 +35,18 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int,
         row = stop
 
 
+def return_memory() -> None:
+    """Give freed memory back to the system.
+
+    Python workers outlive their tasks and share their executor's memory with the JVM, so what one has freed
+    but keeps for itself is missing elsewhere. Scans call this where they begin and end.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of all words, and the index of each text's first word (one more at the end)."""
     inside = in_word[data]
@@ -53,9 +67,6 @@ _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) +
 # Fixed values of the splitmix64 finaliser, and an odd base with its inverse modulo 2 ** 64.
 _MIX_1, _MIX_2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: every bit of the input reaches every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_1
@@ -63,25 +74,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, STEP_BYTES + 1)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps_ = np.full(n, base, np.uint64)
-            steps_[0] = 1
-            _powers[i] = np.cumprod(steps_, dtype=np.uint64)
-    return _powers[0], _powers[1]
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        found.append(np.cumprod(factors, dtype=np.uint64))
+    return found[0], found[1]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: differences of one running sum of byte values times powers, moved to position 0."""
-    up, down = _powers_up_to(len(data) + 1)
+def _piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(STEP_BYTES + 1) if len(data) <= STEP_BYTES else _powers.__wrapped__(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
     return mixed(h + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: differences of one running sum of byte values times powers, moved to position 0.
+
+    Words come in order. A long text is done in pieces, so that only a word longer than a step needs more memory.
+    """
+    if len(data) <= STEP_BYTES:
+        return _piece_hashes(data, starts, ends)
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + STEP_BYTES, "right")))
+        found.append(_piece_hashes(data[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low))
+        at = stop
+    return np.concatenate(found)
+
+
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``width``-word shingles of each text, sorted and distinct within it; and each text's first index.
 
