@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.staging import stage
+from logloom.llm import textscan
+from logloom.llm.staging import scratch, stage
 
 # The characters stripped from both ends of a line, and the letters lower-cased, for its key.
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -33,6 +34,9 @@ RANGE_LINES = 1_000_000
 #: Lines of one key that a task holds; a longer run is settled later, like those at a partition's edges.
 MOST_HELD = 200_000
 
+#: Keys of open runs that are broadcast at most (some 40 bytes each); with more, a common key is split over SALTS.
+MOST_BROADCAST, SALTS = 100_000, 64
+
 OPEN, DROPPED = 0, 1
 
 #: The column that tells apart rows, those with null or equal ids too.
@@ -85,6 +89,7 @@ def _stream(min_docs: int, keep_first: bool):
         return np.flatnonzero(new_run), new_doc | new_run
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textscan.return_memory()
         held, open_first = None, True  # lines of the unfinished run; whether the next run may have begun earlier
         for batch in batches:
             if not batch.num_rows:
@@ -132,8 +137,13 @@ def dropped_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     # at most two runs per partition are open; an edge may cut a document's lines, so documents are counted anew
     lone = F.when(F.col("doc_id").isNull(), F.col("row")).alias("lone")  # a null id is a document of its own
     per_doc = open_.groupBy("h1", "h2", "doc_id", lone).agg(F.min(F.struct("row", "pos")).alias("at")).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "at.row", "at.pos")).alias("first"))
-    common = per_doc.where(F.col("docs") >= min_docs).select("h1", "h2", "first")
-    edge = open_.select("h1", "h2", "doc_id", "row", "pos").join(common, ["h1", "h2"])  # AQE broadcasts the keys if they are few
+    common = stage(per_doc.where(F.col("docs") >= min_docs).select("h1", "h2", "first"), "line-keys")
+    edge = open_.select("h1", "h2", "doc_id", "row", "pos")
+    if common.count() <= MOST_BROADCAST:
+        edge = edge.join(F.broadcast(common), ["h1", "h2"])
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        edge = edge.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
     if keep_first:
         edge = edge.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
     return settled.unionByName(edge.select("row", "pos"))
@@ -169,7 +179,8 @@ def bitmaps(documents: DataFrame, dropped: DataFrame, id_col: str = "doc_id", te
         return pd.Series([one(*x) for x in zip(n, at, strict=True)], dtype=object)
 
     keep = F.when(F.col("at").isNotNull(), packed("n_lines", "at"))
-    return marked.select("doc_id", ROW, *DIGESTS, "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), keep.alias("keep"))
+    # written once: the bitmaps are the result, and whoever applies them doesn't pack them in the same task
+    return stage(marked.select("doc_id", ROW, *DIGESTS, "n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), keep.alias("keep")), "line-bitmaps", keep=True)
 
 
 def kept_text(text: str, n_lines: int, keep: bytes) -> str:
@@ -189,8 +200,9 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts are one empty line. Rows that share an id count as one document, but each has a bitmap
     of its own. A null id is a document of its own. An empty table gives no rows; other columns are not read.
     """
-    documents = documents if ROW in documents.columns else numbered(documents.select(id_col, text_col))
-    return bitmaps(documents, dropped_lines(documents, id_col, text_col, min_docs, keep_first), id_col, text_col)
+    with scratch(documents.sparkSession):
+        documents = documents if ROW in documents.columns else numbered(documents.select(id_col, text_col))
+        return bitmaps(documents, dropped_lines(documents, id_col, text_col, min_docs, keep_first), id_col, text_col)
 
 
 def apply_keep(documents: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,37 +1,12 @@
-"""Intermediate tables in the folder that all executors and the driver share."""
+"""Input tables, and intermediate ones in the folder that all executors and the driver share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.sources.shared import collecting, delete, fresh_path, scratch, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage the way a reliable checkpoint does, but as Parquet, so later readers prune columns
-    and a lost executor costs a re-read instead of a recomputation.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["collecting", "delete", "fresh_path", "scratch", "shared_dir", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
