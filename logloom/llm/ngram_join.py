@@ -1,16 +1,19 @@
 """Exact Jaccard self-join of documents' word n-gram sets by vertical partitioning.
 
 1. Document frequencies. The global n-gram order is cut into fragments (ranges of the n-grams' hashes). A scan
-   turns each step of texts into one compact array of hashes per fragment; each fragment counts its n-grams
-   over all documents and answers with one byte per n-gram. A document more than a quarter of whose n-grams
-   occur nowhere else has no partner and is done: for most documents that is the end.
-2. Those left collapse into classes of equal sets. n-grams are ordered from rare to common; two sets can only
-   reach the threshold if they share one of the first n - ceil(0.75 n) + 1 n-grams (prefix filter).
+   turns each chunk of texts into one row per fragment: the fragment's distinct n-grams of the chunk, counted, and
+   which documents have them. Each fragment adds the counts up and answers with one byte per n-gram, so a common
+   n-gram costs a few bytes per chunk, not per document. A document more than a quarter of whose n-grams occur
+   nowhere else has no partner and is done: for most documents that is the end.
+2. Equal texts left are cut into n-grams once, and collapse into classes of equal sets. n-grams are ordered from
+   rare to common; two sets can only reach the threshold if they share one of the first n - ceil(0.75 n) + 1
+   n-grams (prefix filter).
 3. Candidates are verified by fragment: the overlap is counted in each fragment separately and summed per pair.
 4. Pairs are never enumerated within a group. Rounds of stars link each class to the partner with which it
    shares most of its prefix; only classes that still share a prefix n-gram *and* lie in different
    components are then compared, behind bounds from their positions and parity bitmaps, so no link between
-   different sets is lost and groups of near copies cost about one pair per member.
+   different sets is lost and groups of near copies cost about one pair per member. An n-gram in the prefixes
+   of very many classes is dealt to as many tasks as it needs (salted).
 """
 
 from __future__ import annotations
@@ -20,16 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import textscan
 from logloom.llm.components import components
-from logloom.llm.staging import stage
+from logloom.llm.staging import scratch, stage
 
 #: Bytes of text whose n-grams one fragment counts at a time.
 FRAGMENT_BYTES = 64 << 20
+#: n-grams of a chunk: enough for CHUNK_ROW in each fragment, within these bounds (of memory above).
+CHUNK_ROW, CHUNK_LEAST, CHUNK_MOST = 256, 1 << 19, 1 << 23
+#: Classes that share a prefix n-gram and meet in one task at most.
+TOKEN_CLASSES = 1000
+#: n-grams in the prefixes of more classes than that are broadcast (16 bytes each) if there are at most so many.
+MOST_BROADCAST = 100_000
 #: Fragments in which a pair's overlap is counted.
 PAIR_FRAGMENTS = 4
 STAR_ROUNDS = 3
@@ -47,74 +57,108 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _fragmented(width: int, fragments: int):
-    """Per step of texts and fragment: how many n-grams each document has there, and their hashes' low halves."""
+    """Per chunk of texts and fragment: its distinct n-grams in order, how many documents have each, and which.
+
+    The row of one fragment, by the chunk's hash, also has the chunk's ids and text keys.
+    """
+    most = min(max(CHUNK_ROW * fragments, CHUNK_LEAST), CHUNK_MOST)
+    names = ["fragment", "chunk", "tokens", "runs", "docs", "ids", "k1", "k2"]
+
+    def rows(chunk: int, tokens: np.ndarray, docs: np.ndarray, keys: list[pa.Array]) -> pa.RecordBatch:
+        order = np.argsort(tokens, kind="stable")  # so documents rise within an n-gram
+        tokens, docs = tokens[order], docs[order]
+        # tokens times fragments, 96 bits: the upper part is the fragment, the next 32 bits rise with the hash within it
+        scaled = (tokens >> np.uint64(32)) * np.uint64(fragments) + ((tokens & np.uint64(0xFFFFFFFF)) * np.uint64(fragments) >> np.uint64(32))
+        new = np.flatnonzero(np.concatenate([[True], scaled[1:] != scaled[:-1]])) if len(scaled) else np.zeros(0, np.int64)
+        runs, scaled = np.diff(np.append(new, len(scaled))), scaled[new]
+        cuts = np.searchsorted(scaled >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
+        ends = np.append(new, len(docs))[cuts]
+        n = len(keys[0])
+        small = np.uint16 if n < 1 << 16 else np.uint32
+        low, runs, docs = scaled.astype(np.uint32), runs.astype(small), docs.astype(small)
+        head = int(textscan.mixed(np.array([chunk], np.uint64))[0] % np.uint64(fragments))
+        has = [f for f in range(fragments) if cuts[f] < cuts[f + 1] or f == head]
+        blobs = [pa.array([x[at[f] : at[f + 1]].tobytes() for f in has], pa.binary()) for x, at in ((low, cuts), (runs, cuts), (docs, ends))]
+        starts = pa.array(np.where(np.arange(len(has) + 1) > has.index(head), n, 0).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, k) for k in keys]
+        return pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([chunk] * len(has), pa.int64()), *blobs, *lists], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        textscan.return_memory()
+        chunk, n, held = TaskContext.get().partitionId() << 32, 0, 0
+        tokens, docs, keys = [], [], ([], [], [])
+        joined = lambda: rows(chunk, np.concatenate(tokens), np.concatenate(docs), [pa.concat_arrays(k) for k in keys])
         for batch in batches:
-            for begin, end, tokens, first in _sets(batch["text"], width):
-                span = ((tokens >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-                docs = np.repeat(np.arange(end - begin), np.diff(first))
-                order = np.argsort(span.astype(np.int32), kind="stable")
-                low, docs = tokens.astype(np.uint32)[order], docs[order]
-                cuts = np.searchsorted(span[order], np.arange(fragments + 1, dtype=np.uint64))
-                ids, keys = batch["doc_id"].slice(begin, end - begin), batch["text_hash"].slice(begin, end - begin)
-                rows = {"fragment": [], "counts": [], "tokens": [], "ids": [], "keys": []}
-                for f in range(fragments):
-                    own = slice(cuts[f], cuts[f + 1])
-                    if cuts[f] == cuts[f + 1] and f != chunk % fragments:
-                        continue
-                    rows["fragment"].append(f)
-                    rows["counts"].append(np.bincount(docs[own], minlength=end - begin).astype(np.int32).tobytes())
-                    rows["tokens"].append(low[own].tobytes())
-                    rows["ids"].append(ids.to_pylist() if f == chunk % fragments else None)
-                    rows["keys"].append(keys.to_pylist() if f == chunk % fragments else None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["fragment"], pa.int32()), pa.array([chunk] * len(rows["fragment"]), pa.int64()), pa.array(rows["counts"], pa.binary()), pa.array(rows["tokens"], pa.binary()), pa.array(rows["ids"], pa.list_(pa.int64())), pa.array(rows["keys"], pa.list_(pa.int64()))],
-                    names=["fragment", "chunk", "counts", "tokens", "ids", "keys"],
-                )
-                chunk += 1
+            for begin, end, own, first in _sets(batch["text"], width):
+                tokens.append(own)
+                docs.append(np.repeat(np.arange(n, n + end - begin, dtype=np.uint32), np.diff(first)))
+                for k, name in zip(keys, ("doc_id", "k1", "k2"), strict=True):
+                    k.append(batch[name].slice(begin, end - begin))
+                n, held = n + end - begin, held + len(own)
+                if held >= most:
+                    yield joined()
+                    chunk, n, held = chunk + 1, 0, 0
+                    tokens, docs, keys = [], [], ([], [], [])
+        if n:
+            yield joined()
+        tokens, docs, keys = [], [], ([], [], [])
+        textscan.return_memory()
 
     return scan
 
 
 def _frequencies(group: pa.Table) -> pa.Table:
     """One fragment: in place of its n-grams their numbers of documents, up to 255."""
-    blobs = [x.as_buffer() for x in group["tokens"].combine_chunks()] if group.num_rows else []
-    parts = [np.frombuffer(x, np.uint32) for x in blobs]
+    textscan.return_memory()
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in group["tokens"]]
+    runs = np.concatenate([_counts(r, len(t)) for r, t in zip(group["runs"], parts, strict=True)])
     tokens = np.concatenate(parts)
-    order = np.argsort(tokens)
+    order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(new, len(ordered)))
+    totals = np.minimum(np.add.reduceat(runs[order], new), 255) if len(new) else new
     df = np.empty(len(tokens), np.uint8)
-    df[order] = np.repeat(np.minimum(counts, 255).astype(np.uint8), counts)
+    df[order] = np.repeat(totals.astype(np.uint8), np.diff(np.append(new, len(ordered))))
     at = np.cumsum([0, *map(len, parts)])
     packed = [zlib.compress(df[at[i] : at[i + 1]].tobytes(), 1) for i in range(len(parts))]
     return group.set_column(group.schema.get_field_index("tokens"), "tokens", pa.array(packed, pa.binary()))
 
 
+def _counts(blob: pa.Scalar, n: int) -> np.ndarray:
+    """``n`` numbers of two or four bytes each."""
+    data = blob.as_buffer()
+    return np.frombuffer(data, np.uint32 if data.size > 2 * n else np.uint16).astype(np.int64)
+
+
 def _assembled(group: pa.Table) -> pa.Table:
-    """One step of texts, all fragments: each document's set size, and its frequencies if enough n-grams are shared."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["fragment"])
-    head = next(r for r in rows if r["ids"] is not None)
-    counts = np.stack([np.frombuffer(r["counts"], np.int32) for r in rows])
-    dfs = [np.frombuffer(zlib.decompress(r["tokens"]), np.uint8) for r in rows]
-    size = counts.sum(axis=0)
-    shared = np.zeros(len(size), np.int64)
-    for c, df in zip(counts, dfs, strict=True):
-        shared += np.bincount(np.repeat(np.arange(len(size)), c)[df > 1], minlength=len(size))
+    """One chunk, all fragments: each document's set size, and its frequencies if enough n-grams are shared."""
+    textscan.return_memory()
+    group = group.sort_by("fragment")
+    head = int(np.argmax(pc.list_value_length(group["ids"]).to_numpy()))
+    ids, k1, k2 = (group[name].combine_chunks()[head].values for name in ("ids", "k1", "k2"))
+    dfs, docs = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for blob, runs, own in zip(group["tokens"], group["runs"], group["docs"], strict=True):
+        df = np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+        runs = _counts(runs, len(df))
+        dfs.append(np.repeat(df, runs))
+        docs.append(_counts(own, int(runs.sum())))
+    docs, df = np.concatenate(docs), np.concatenate(dfs)
+    order = np.argsort(docs, kind="stable")  # fragments rise, and n-grams within them: so do each document's n-grams
+    df, docs = df[order], docs[order]
+    at = np.searchsorted(docs, np.arange(len(ids) + 1))
+    size = np.diff(at)
+    shared = np.bincount(docs[df > 1], minlength=len(ids))
     live = (4 * shared >= 3 * size) & (size > 0)
-    at = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
-    df = [b"".join(dfs[f][at[f, i] : at[f, i + 1]].tobytes() for f in range(len(rows))) if live[i] else None for i in range(len(size))]
-    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "text_hash": pa.array(head["keys"], pa.int64()), "n": pa.array(size, pa.int64()), "df": pa.array(df, pa.binary())})
+    kept = [df[at[i] : at[i + 1]].tobytes() if live[i] else None for i in range(len(ids))]
+    return pa.table({"doc_id": ids, "k1": k1, "k2": k2, "n": pa.array(size, pa.int64()), "df": pa.array(kept, pa.binary())})
 
 
 def _ordered(width: int):
-    """Live documents: signature of the set, prefix in the global order, and the shared n-grams by pair fragment."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("prefix", pa.list_(pa.int64())), ("unique", pa.int64()), ("bits", pa.list_(pa.int64())), *((f"f{i}", pa.binary()) for i in range(PAIR_FRAGMENTS))])
+    """Live texts: signature of the set, prefix in the global order, and the shared n-grams by pair fragment."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("prefix", pa.list_(pa.int64())), ("unique", pa.int64()), ("bits", pa.list_(pa.int64())), *((f"f{i}", pa.binary()) for i in range(PAIR_FRAGMENTS))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textscan.return_memory()
         for batch in batches:
             for begin, end, tokens, first in _sets(batch["text"], width):
                 rows = []
@@ -129,7 +173,7 @@ def _ordered(width: int):
                     signature = (int(textscan.mixed(own).sum(dtype=np.uint64)) << 64 | int(np.bitwise_xor.reduce(textscan.mixed(~own)))).to_bytes(16, "big")
                     odd = np.bincount((textscan.mixed(own) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
                     bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                    rows.append((batch["doc_id"][begin + i].as_py(), n, signature, prefix.view(np.int64), unique, bits, *[x.tobytes() for x in np.split(common, cuts)]))
+                    rows.append((batch["k1"][begin + i].as_py(), batch["k2"][begin + i].as_py(), n, signature, prefix.view(np.int64), unique, bits, *[x.tobytes() for x in np.split(common, cuts)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return scan
@@ -162,6 +206,31 @@ def _compatible(n: str, m: str) -> str:
     return f"4 * least({n}, {m}) >= 3 * greatest({n}, {m})"
 
 
+def _dealt(tokens: DataFrame) -> DataFrame:
+    """A row for each of the ``ways`` in which an n-gram's postings are dealt (column ``salt``)."""
+    return tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+
+
+def _ways(classes: str) -> Column:
+    return F.ceil(F.col(classes) / TOKEN_CLASSES).cast("int")
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings whose n-gram several classes have, with the number of ways in which it is dealt, and their own."""
+    several = stage(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token", _ways("classes").alias("ways")), "tokens")
+    hot = several.where("ways > 1")
+    if 0 < hot.count() <= MOST_BROADCAST:
+        rest = postings.join(F.broadcast(hot.select("token")), "token", "left_anti").join(several.where("ways = 1"), "token")
+        postings = postings.join(F.broadcast(hot), "token").unionByName(rest)
+    else:
+        postings = postings.join(several, "token")  # AQE splits what is skewed
+    return postings.withColumn("salt", _salt())
+
+
 def _stars(postings: DataFrame, seed: int) -> DataFrame:
     """At most one candidate per class: of the pivots of its prefix n-grams, that with most of them in common.
 
@@ -170,8 +239,8 @@ def _stars(postings: DataFrame, seed: int) -> DataFrame:
     """
     order = F.col("unique") / F.col("n") if seed == 0 else F.xxhash64(F.lit(seed), "doc_id").cast("double")
     rank = F.struct(order.alias("rank"), F.col("doc_id").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pivots = postings.groupBy("token", "band").agg(F.min(rank).alias("p"), F.count("*").alias("members")).where("members > 1").select("token", "band", "p.*")
-    near = postings.join(pivots, ["token", "band"]).where("doc_id <> pivot AND component <> other AND " + _compatible("n", "m"))
+    pivots = postings.groupBy("token", "band").agg(F.min(rank).alias("p"), F.count("*").alias("members"), F.first("ways").alias("ways")).where("members > 1").select("token", "band", "ways", "p.*")
+    near = postings.join(_dealt(pivots), ["token", "band", "salt"]).where("doc_id <> pivot AND component <> other AND " + _compatible("n", "m"))
     counts = near.groupBy("doc_id", "pivot").agg(F.count("*").alias("common"))
     best = counts.groupBy("doc_id").agg(F.max(F.struct("common", F.col("pivot"))).alias("best"))
     return best.select(F.col("doc_id").alias("a"), F.col("best.pivot").alias("b"))
@@ -182,65 +251,82 @@ def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     return postings.drop("component").join(labels, "doc_id", "left").withColumn("component", F.coalesce("label", "doc_id")).drop("label")
 
 
+def _between(postings: DataFrame) -> DataFrame:
+    """The postings whose n-gram classes of different components have, dealt by how many are left."""
+    per_token = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("classes"), F.first("ways").alias("ways"))
+    mixed = per_token.where("least <> most").select("token", "ways", _ways("classes").alias("left"))
+    return postings.drop("ways").join(_dealt(mixed), ["token", "salt"]).withColumnRenamed("left", "ways").withColumn("salt", _salt())
+
+
 def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: components of the links at a Jaccard similarity of 0.75 or more.
 
     Texts are lower-cased in A-Z; words are the runs of characters other than space and U+0009 to U+000D. A
     text's set has its distinct ``width``-word shingles; with fewer words, the whole sequence; a null text or
-    one without words has an empty set and links with nothing. Sets are compared by 64-bit hashes of shingles.
+    one without words has an empty set and links with nothing. Sets are compared by 64-bit hashes of shingles,
+    texts for equality by 128-bit hashes.
 
-    Ids are of type long. Rows with a null id link with nothing and have no component. Rows that repeat a row
-    share its component; of rows that share an id but not the text, one text takes part in linking. An
-    empty table gives no rows. Other columns are not read.
+    Ids are of type long. Rows with a null id link with nothing and have no component. Rows are linked by their own
+    texts: rows that repeat a row share its component, and rows that share an id but not the text join what each of
+    the texts links with. An empty table gives no rows. Other columns are not read.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // FRAGMENT_BYTES + 1)
-
-    rows = "fragment int, chunk long, counts binary, tokens binary, ids array<long>, keys array<long>"
-    counted = docs.mapInArrow(_fragmented(width, fragments), rows).groupBy("fragment").applyInArrow(_frequencies, rows)
-    sized = stage(counted.groupBy("chunk").applyInArrow(_assembled, "doc_id long, text_hash long, n long, df binary"), "sizes")
-
-    live = sized.where("df IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_hash", "df")).alias("x")).select("doc_id", "x.*")
-    texts = docs.where("doc_id IS NOT NULL").join(live, ["doc_id", "text_hash"]).select("doc_id", "text", "df")
-    fields = ", ".join(f"f{i} binary" for i in range(PAIR_FRAGMENTS))
-    sets = stage(texts.mapInArrow(_ordered(width), f"doc_id long, n long, signature binary, prefix array<long>, unique long, bits array<long>, {fields}"), "sets")
-
-    classes = stage(sets.groupBy("signature", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = sets.select("doc_id", "signature", "n").join(classes, ["signature", "n"]).select("doc_id", "class_id").dropDuplicates(["doc_id"])
-    firsts = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    firsts = stage(firsts, "firsts")
-    postings = firsts.select("doc_id", "n", "unique", F.posexplode("prefix").alias("pos", "token"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("band"))
-    postings = postings.select("token", "doc_id", "n", "unique", (F.col("pos") + F.col("unique")).alias("pos"), "band", F.col("doc_id").alias("component"))
-    # an n-gram of one class pairs nothing
-    several = postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    postings = stage(postings.join(several, "token"), "postings")
-
-    links = None
-    for seed in range(STAR_ROUNDS):
-        found = stage(verified(_stars(postings, seed), firsts), "links")
-        links = found if links is None else links.unionByName(found)
-        postings = _labelled(postings, links)
-        mixed = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-        postings = stage(postings.join(mixed, "token"), "postings")
-    # what is left between components, compared in full
-    words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
-    postings = postings.join(firsts.select("doc_id", *words), "doc_id")
-    differ = " + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in range(BITMAP_WORDS))
-    left, right = postings.alias("l"), postings.alias("r")
-    cross = left.join(
-        right,
-        F.expr(
-            f"l.token = r.token AND l.doc_id < r.doc_id AND l.component <> r.component AND {_compatible('l.n', 'r.n')}"
-            f" AND 7 * ({differ}) <= l.n + r.n"
-            " AND 7 * (least(l.pos - l.unique, r.pos - r.unique) + least(l.n - l.pos, r.n - r.pos)) >= 3 * (l.n + r.n)"
-        ),
-    )
-    pairs = cross.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    links = links.unionByName(stage(verified(pairs, firsts), "links"))
-
-    labels = components(links).withColumnRenamed("node", "class_id")
-    found = members.join(labels, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("linked"))
-    result = sized.select("doc_id", "n").join(found, "doc_id", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id"))
+    with scratch(documents.sparkSession):
+        spark = documents.sparkSession
+        docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        docs = docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
+        volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // FRAGMENT_BYTES + 1)
+
+        rows = "fragment int, chunk long, tokens binary, runs binary, docs binary, ids array<long>, k1 array<long>, k2 array<long>"
+        counted = docs.mapInArrow(_fragmented(width, fragments), rows).groupBy("fragment").applyInArrow(_frequencies, rows)
+        sized = stage(counted.groupBy("chunk").applyInArrow(_assembled, "doc_id long, k1 long, k2 long, n long, df binary"), "sizes")
+
+        live = sized.where("df IS NOT NULL AND doc_id IS NOT NULL")
+        once = live.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "df")).alias("x")).select("k1", "k2", "x.*")
+        texts = docs.join(once, ["doc_id", "k1", "k2"]).select("k1", "k2", "text", "df")
+        fields = ", ".join(f"f{i} binary" for i in range(PAIR_FRAGMENTS))
+        sets = stage(texts.mapInArrow(_ordered(width), f"k1 long, k2 long, n long, signature binary, prefix array<long>, unique long, bits array<long>, {fields}"), "sets")
+
+        classes = sets.groupBy("signature", "n").agg(F.min(F.struct("k1", "k2")).alias("first"))
+        classes = stage(classes.select("signature", "n", "first.*", F.monotonically_increasing_id().alias("class_id")), "classes")
+        of_text = sets.select("k1", "k2", "signature", "n").join(classes.select("signature", "n", "class_id"), ["signature", "n"]).select("k1", "k2", "class_id").distinct()
+        members = stage(live.select("doc_id", "k1", "k2").join(of_text, ["k1", "k2"]).select("doc_id", "class_id"), "members")
+        # one set per class; a text of several rows alike may be there more than once
+        firsts = sets.join(classes.select("k1", "k2", F.col("class_id").alias("doc_id")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        firsts = stage(firsts.drop("k1", "k2", "signature"), "firsts")
+        postings = firsts.select("doc_id", "n", "unique", F.posexplode("prefix").alias("pos", "token"), F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int").alias("band"))
+        postings = postings.select("token", "doc_id", "n", "unique", (F.col("pos") + F.col("unique")).alias("pos"), "band", F.col("doc_id").alias("component"))
+        postings = stage(_shared(postings), "postings")
+
+        links = None
+        for seed in range(STAR_ROUNDS):
+            found = stage(verified(_stars(postings, seed), firsts), "links")
+            links = found if links is None else links.unionByName(found)
+            postings = stage(_between(_labelled(postings, links)), "postings")
+        # what is left between components, compared in full
+        words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+        postings = stage(postings.join(firsts.select("doc_id", *words), "doc_id"), "between")
+        differ = " + ".join(f"bit_count(l.w{i} ^ r.w{i})" for i in range(BITMAP_WORDS))
+        left, right = postings.alias("l"), _dealt(postings.drop("salt")).alias("r")
+        cross = left.join(
+            right,
+            F.expr(
+                f"l.token = r.token AND l.salt = r.salt AND l.doc_id < r.doc_id AND l.component <> r.component AND {_compatible('l.n', 'r.n')}"
+                f" AND 7 * ({differ}) <= l.n + r.n"
+                " AND 7 * (least(l.pos - l.unique, r.pos - r.unique) + least(l.n - l.pos, r.n - r.pos)) >= 3 * (l.n + r.n)"
+            ),
+        )
+        pairs = cross.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+        links = links.unionByName(stage(verified(pairs, firsts), "links"))
+        # an id with several texts holds their classes together
+        several = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z").select("doc_id", "a")
+        links = links.unionByName(members.join(several, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct())
+
+        labels = components(links).withColumnRenamed("node", "class_id")
+        least = members.groupBy("class_id").agg(F.min("doc_id").alias("least")).join(labels, "class_id", "left")
+        least = stage(least.select("class_id", "least", F.coalesce("component", "class_id").alias("component")), "least")
+        named = least.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = least.join(named, "component").select("class_id", "component_id")
+        found = members.join(named, "class_id").groupBy("doc_id").agg(F.min("component_id").alias("linked"))
+        result = sized.select("doc_id", "n").join(found, "doc_id", "left")
+        return stage(result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id")), "components", keep=True)
