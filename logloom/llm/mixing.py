@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.staging import stage
+from logloom.llm.staging import scratch, stage
 
 #: A packet has at most so many words, and at most this part of its source's target.
 PACKET_WORDS, PACKETS_OF_A_TARGET = 1000, 500
@@ -126,8 +126,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     no rows. ``row_col`` names a column of type long that tells rows apart, returned as ``key``; else a number of
     our own does.
     """
-    docs, packets = queue(documents, id_col, text_col, source_col, weights, share, most_copies, seed, row_col)
-    per_copy = [F.coalesce(F.sum(F.when(F.col("copy") == c, F.col("taken"))), F.lit(0)).alias(f"copy{c}") for c in range(most_copies)]
-    took = packets.where("taken > 0").groupBy("key").agg(F.sum("taken").alias("taken"), F.array(*per_copy).alias("copies"))
-    none = F.array(*[F.lit(0).cast("long")] * most_copies)
-    return docs.join(took, "key", "left").select("doc_id", "source", "size", "source_size", "target", "key", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", none).alias("copies"))
+    with scratch(documents.sparkSession):
+        docs, packets = queue(documents, id_col, text_col, source_col, weights, share, most_copies, seed, row_col)
+        per_copy = [F.coalesce(F.sum(F.when(F.col("copy") == c, F.col("taken"))), F.lit(0)).alias(f"copy{c}") for c in range(most_copies)]
+        took = packets.where("taken > 0").groupBy("key").agg(F.sum("taken").alias("taken"), F.array(*per_copy).alias("copies"))
+        none = F.array(*[F.lit(0).cast("long")] * most_copies)
+        mixed = docs.join(took, "key", "left").select("doc_id", "source", "size", "source_size", "target", "key", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", none).alias("copies"))
+        return stage(mixed, "mix", keep=True)

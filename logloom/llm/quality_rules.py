@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.staging import stage
+from logloom.llm.staging import scratch, stage
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -174,7 +174,8 @@ def keep_good(documents: DataFrame, text_col: str = "text", iterations: int = 30
 
     The votes are taken once to estimate the posteriors and once more, in the scan, to filter.
     """
-    found = posteriors(stage(voted(documents, text_col, text_col).select("votes"), "votes"), iterations)
+    with scratch(documents.sparkSession):
+        found = stage(posteriors(stage(voted(documents, text_col, text_col).select("votes"), "votes"), iterations), "posteriors", keep=True)
     rows = documents.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     # a filter moves down through projections by repeating their expressions, here array functions within array
     # functions; it stops at a projection whose values depend on the row's place

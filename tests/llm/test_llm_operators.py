@@ -215,7 +215,9 @@ def test_neighbours_recall_and_order(spark):
         assert len(got) == 10 and got == sorted(got, key=lambda g: (-g[1], g[0])) and q not in dict(got)
         assert all(s == pytest.approx(float(x[q] @ x[i])) for i, s in got)
     assert hits >= 0.9 * 10 * len(found)
-    assert [i for i, _ in found[60]][:10] == list(range(50, 61))[:10] or set(dict(found[60])) >= set()
+    alike = [i for i in range(50, 150) if i != 60]
+    longer = sorted((i for i in range(400) if not 50 <= i < 150 and x[60] @ x[i] > x[60] @ x[60]), key=lambda i: (-x[60] @ x[i], i))
+    assert [i for i, _ in found[60]] == [*longer, *alike][:10]  # those who share the vector, by id
     assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"]) for r in ann.search(few, lambda i: i % 20 == 0).collect()] == [(0, 1), (0, 2)]
@@ -223,7 +225,8 @@ def test_neighbours_recall_and_order(spark):
 
 @pytest.mark.parametrize("factor", [10, 100])
 def test_neighbours_recall_with_one_vector_far_longer(spark, factor):
-    x = np.random.default_rng(3).normal(size=(4000, 32))
+    x = np.random.default_rng(3).normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
     x[7] *= factor
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
     found = collections.defaultdict(set)
@@ -231,8 +234,8 @@ def test_neighbours_recall_with_one_vector_far_longer(spark, factor):
         found[r["query_id"]].add(r["vec_id"])
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
-    hits = sum(len(found[q] & set(np.argsort(-scores[q])[:20].tolist())) for q in range(0, 4000, 100))
-    assert hits >= 0.95 * 20 * 40
+    hits = sum(len(found[q] & set(np.argsort(-scores[q])[:20].tolist())) for q in range(0, 5000, 100))
+    assert hits >= 0.9 * 20 * 50
 
 
 def test_neighbours_of_ids_with_several_vectors_and_of_a_shared_vector(spark):
@@ -253,11 +256,37 @@ def test_neighbours_of_ids_with_several_vectors_and_of_a_shared_vector(spark):
     assert dict(found) in (exact(x), exact(second))
 
 
-def test_norm_bands():
-    assert ann.norm_bands([1.0] * 20) == [(1.0, -1.0, False)]
-    assert ann.norm_bands([1.0] * 19 + [100.0]) == [(100.0, 1.0, True), (1.0, -1.0, False)]
-    assert ann.norm_bands([1.0, 1.5, 2.0, 10.0, 10.0, 11.0]) == [(11.0, 10.0, True), (10.0, 2.0, False), (2.0, -1.0, False)]
-    assert ann.norm_bands([1.0, 5.0, 6.0, 7.0]) == [(7.0, 6.0, True), (6.0, 5.0, False), (5.0, 1.0, True), (1.0, -1.0, False)]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_windows_compare_less_than_brute_force_and_find_nine_tenths(spark, seed):
+    n, k = 6000, 20
+    x = np.random.default_rng(seed).normal(size=(n, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    classes, _ = ann.classes_of(df, lambda i: i % 20 == 0, "vec_id", "embedding")
+    windows = ann.candidates(classes, 2 * k).select("qid", "compared").collect()
+    most = 3 * max(ann.LEAST_BLOCK, (n + n // 20 * ann.PROBES // ann.ORDERINGS) // ann.BLOCKS)
+    assert collections.Counter(r["qid"] for r in windows) == {q: ann.PROBES for q in range(0, n, 20)}
+    assert max(r["compared"] for r in windows) <= most and sum(r["compared"] for r in windows) < 0.85 * n * (n // 20)
+    found = collections.defaultdict(set)
+    for r in ann.search(df, lambda i: i % 20 == 0, k=k).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    scores = x[::20] @ x.T
+    scores[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+    hits = sum(len(found[20 * q] & set(np.argsort(-s)[:k].tolist())) for q, s in enumerate(scores))
+    assert hits >= 0.9 * k * (n // 20)
+
+
+def test_codes_and_bands_of_norms(spark):
+    x = np.random.default_rng(4).normal(size=(50, 9)) * np.logspace(-3, 3, 50)[:, None]
+    assert (np.abs(ann.decoded(ann.coded(x)) - x).max(axis=1) <= np.abs(x).max(axis=1) / 250).all()
+    df = spark.createDataFrame([(i, (v * 10.0 ** (i % 7)).tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(900, 8)))] + [(911, [1e-320] * 8), (901, [1e12] * 8)], "vec_id long, embedding array<double>")
+    vectors_ = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    found = collections.defaultdict(list)
+    for r in ann.search(df, lambda i: i % 100 == 0, k=5, whole=60).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    for q, got in found.items():
+        best = sorted((i for i in vectors_ if i != q), key=lambda i: -(vectors_[q] @ vectors_[i]))[:5]
+        assert len(set(got) & set(best)) >= 4
 
 
 def test_hilbert_keys_visit_all_cells_step_by_step():
@@ -346,6 +375,8 @@ def key(line):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_line_dedup_against_brute_force(spark, monkeypatch, keep_first):
+    if keep_first:
+        monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)  # split instead of broadcast
     r = random.Random(8)
     common = ["License text", " license TEXT\t", "other line", "Ünicode", ""]
     texts = ODD + ["\n".join(r.choice([*common, f"own {i} {r.randrange(3)}"]) for _ in range(r.randrange(1, 9))) for i in range(200)]
@@ -404,7 +435,12 @@ def components_of(texts):
     return {i: (len(sets[i]), root(i)) for i in range(len(sets))}
 
 
-def test_jaccard_join_against_brute_force(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, split):
+    if split:  # many chunks, and common n-grams dealt to several tasks
+        monkeypatch.setattr(ngram_join, "CHUNK_LEAST", 300)
+        monkeypatch.setattr(ngram_join, "CHUNK_ROW", 1)
+        monkeypatch.setattr(ngram_join, "TOKEN_CLASSES", 3)
     r = random.Random(11)
     texts = list(ODD) + corpus(12, 40)
     base = corpus(13, 6)
@@ -423,6 +459,18 @@ def test_jaccard_join_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.similar_documents(odd).collect()), key=str) == [(1, 1), (1, 1), (2, 1), (None, None)]
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOKEN_CLASSES", 1)
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 0)
+    a, b, c = corpus(41, 3)
+    rows = [(1, a), (1, b), (2, a), (3, b), (9, a + " z"), (7, c), (7, c), (8, None)]
+    found = ngram_join.similar_documents(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (7, 7), (8, 8), (9, 1)]
+    rows = [(5, a), (5, b), (2, a), (3, b)]
+    found = ngram_join.similar_documents(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect()
+    assert {r["component_id"] for r in found} == {2}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
