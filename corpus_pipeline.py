@@ -6,6 +6,7 @@ stage's accuracies, nor byte-pair merges, so the pipeline is tested against a br
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,17 +14,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from logloom.llm.staging import stage, table
+from logloom.llm.staging import collecting, delete, stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+_left: list[tuple[SparkSession, list[str]]] = []  # tables that the last stage's result still reads
+
+
+def own_tables(apply: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the intermediate tables of the stage before: what that returned is written by now."""
+
+    @functools.wraps(apply)
+    def applied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            delete(*_left.pop())
+        with collecting() as paths:
+            result = apply(spark, docs, sf_dir)
+        _left.append((spark, paths))
+        return result
+
+    return applied
+
+
+@own_tables
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
+@own_tables
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first of them alone.
 
@@ -37,6 +58,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@own_tables
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by similar shingle sets, one with the smallest id stays; of those without words, one of each id.
 
@@ -53,6 +75,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
+@own_tables
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy of which the mix takes at least half; a copy that the budget cuts stays whole or goes.
 
@@ -64,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(copies, line_dedup.ROW).select(*COLUMNS)
 
 
+@own_tables
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row's text, with the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,9 +108,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for i, (_, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{i}")
+            with collecting() as paths:
+                docs = stage(docs, f"pipeline-{i}")
+            delete(spark, written)
+            written = paths
     return docs
