@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.fold import storage_estimate
+from logloom.operators.folds import ordered_fold
 from logloom.operators.select import SAFE_ID
 
 
@@ -54,7 +55,7 @@ def decisions(sessions: DataFrame, previous: DataFrame, managed: DataFrame, writ
 
     Managed sessions, unsafe paths and closed gates end with their one reason. Other reasons add up. Sessions without any
     compete in order: each must fit the budget on top of those selected before, then the batch limit.
-    The competition is a fold over (place, bytes) of the sessions that got that far, not over the catalog.
+    The competition is a fold streamed over (update, id, bytes) of the sessions that got that far, not over the catalog.
     """
     x = observed(sessions, previous, policy)
     x = x.join(managed.select(F.col("session_id").alias("id"), F.lit(True).alias("is_managed")).distinct(), "id", "left")
@@ -74,25 +75,23 @@ def decisions(sessions: DataFrame, previous: DataFrame, managed: DataFrame, writ
     x = x.withColumn("early", early).withColumn("reasons", F.when(F.col("early").isNotNull(), F.array("early")).otherwise(late))
 
     ready = x.where(F.size("reasons") == 0)
-    ordered = ready.agg(F.sort_array(F.collect_list(F.struct("updated_at", "id", "size"))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("taken"), F.array().cast("array<struct<id:string,reason:string>>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        used = a["used"] + enrollment_bytes(s["size"])
-        more = used + s["size"]
-        fits = F.lit(budget is not None)
-        if budget is not None:
-            if budget.max_physical > 0:
-                fits = fits & (F.lit(budget.current) + more <= budget.max_physical)
-            if budget.max_temporary > 0:
-                fits = fits & (s["size"] <= budget.max_temporary)
-            fits = fits & (F.lit(budget.available) - more >= budget.reserve)
-        reason = F.when(~fits, "insufficient_budget").when(a["taken"] >= max(1, policy.batch), "batch_limit")
-        chosen = reason.isNull()
-        out = F.concat(a["out"], F.array(F.struct(s["id"].alias("id"), reason.alias("reason"))))
-        return F.struct(F.when(chosen, used).otherwise(a["used"]).alias("used"), (a["taken"] + chosen.cast("int")).alias("taken"), out.alias("out"))
-
-    settled = ordered.select(F.inline(F.aggregate("s", start, step)["out"])).withColumn("competed", F.lit(True))
+    limits, current = budget, (budget or Budget()).current
+
+    def compete(state: list, size: int, more: int) -> str | None:
+        used = state[0] + more
+        fits = limits is not None
+        if limits is not None:
+            fits = (limits.max_physical <= 0 or current + used + size <= limits.max_physical) and (limits.max_temporary <= 0 or size <= limits.max_temporary)
+            fits = fits and limits.available - used - size >= limits.reserve
+        if not fits:
+            return "insufficient_budget"
+        if state[1] >= max(1, policy.batch):
+            return "batch_limit"
+        state[:] = [used, state[1] + 1]
+        return None
+
+    queued = ready.select("updated_at", "id", "size", enrollment_bytes(F.col("size")).alias("more"))
+    settled = ordered_fold(queued, [], ["updated_at", "id"], ["size", "more"], lambda: [0, 0], compete, "reason", "string").select("id", "reason", F.lit(True).alias("competed"))
     x = x.join(settled, "id", "left")
     reasons = F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(F.col("reasons"))
     return x.select("id", "updated_at", reasons.alias("reasons"), (F.coalesce("competed", F.lit(False)) & F.col("reason").isNull()).alias("selected"), F.when(F.col("early").isNull(), F.col("stable_since")).alias("stable_since"))

@@ -12,7 +12,6 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.cdc import Bounds, cuts
@@ -110,12 +109,18 @@ def verify(parts: DataFrame, sessions: DataFrame, session: str, data: str) -> Da
 
 
 def reuse(parts: DataFrame) -> DataFrame:
-    """(kind, parts, unique, reused, unique_raw_bytes, new_stored_bytes): a digest's first part by session and index is unique."""
-    first = F.row_number().over(W.partitionBy("sha256").orderBy("session_id", "part_idx")) == 1
-    p = parts.drop("bytes").withColumn("first", first)
-    return p.groupBy("kind").agg(
-        F.count("*").alias("parts"), F.count_if("first").alias("unique"), F.count_if(~F.col("first")).alias("reused"),
-        F.coalesce(F.sum(F.when(F.col("first"), F.col("raw_bytes"))), F.lit(0)).alias("unique_raw_bytes"), F.coalesce(F.sum(F.when(F.col("first"), F.col("stored_bytes"))), F.lit(0)).alias("new_stored_bytes"),
+    """(kind, parts, unique, reused, unique_raw_bytes, new_stored_bytes): a digest's first part by session and index is unique.
+
+    Counts per digest and kind are added up before digests are shuffled, so a part that is everywhere costs one row per task.
+    """
+    first = F.min(F.struct("session_id", "part_idx", "raw_bytes", "stored_bytes"))
+    own = parts.groupBy("sha256", "kind").agg(first.alias("first"), F.count("*").alias("n"))
+    least = own.groupBy("sha256").agg(F.min(F.struct("first", "kind")).alias("least"), F.collect_list(F.struct("kind", "n")).alias("kinds"))  # at most one row per kind
+    counted = least.select("least", F.inline("kinds")).withColumn("is_first", F.col("least.kind") == F.col("kind"))
+    return counted.groupBy("kind").agg(
+        F.sum("n").alias("parts"), F.count_if("is_first").alias("unique"), (F.sum("n") - F.count_if("is_first")).alias("reused"),
+        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("least.first.raw_bytes"))), F.lit(0)).alias("unique_raw_bytes"),
+        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("least.first.stored_bytes"))), F.lit(0)).alias("new_stored_bytes"),
     )
 
 

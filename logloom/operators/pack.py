@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.operators.folds import ordered_fold
+
 BLOCK_BYTES, PACK_BYTES, RAW_BYTES = 256 << 10, 512 << 20, 16 << 10
 
 
@@ -31,22 +33,21 @@ def encoding(raw: Column, compressed: Column, raw_limit: int = RAW_BYTES) -> Col
 def rotate(block_sizes: DataFrame, limit: int = PACK_BYTES, shard: str | None = None) -> DataFrame:
     """(…, pack, pack_offset) for (sha256, block_idx, stored_bytes) by next fit: a block that no longer fits opens a pack.
 
-    One larger than the limit has a pack of its own. Next fit is sequential: the fold runs over (digest, index, size)
-    structs of one ``shard`` (a column; packs are numbered within it), so many shards pack side by side.
+    One larger than the limit has a pack of its own. Next fit is sequential: a fold in the order of (digest, index),
+    streamed over the blocks of one ``shard`` (a column; packs are numbered within it), so many shards pack side by side.
     """
     key = [shard] if shard else []
-    row = F.struct("sha256", "block_idx", "stored_bytes")
-    start = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pack:bigint,at:bigint>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["used"] > 0) & (a["used"] + x["stored_bytes"] > limit)
-        pack, at = F.when(full, a["pack"] + 1).otherwise(a["pack"]), F.when(full, F.lit(0).cast("long")).otherwise(a["used"])
-        return F.struct(pack.alias("pack"), (at + x["stored_bytes"]).alias("used"), F.concat(a["out"], F.array(F.struct(pack.alias("pack"), at.alias("at")))).alias("out"))
+    def place(state: list, size: int) -> str:
+        if state[1] and state[1] + size > limit:
+            state[:] = [state[0] + 1, 0]
+        at = state[1]
+        state[1] += size
+        return f"{state[0]}:{at}"
 
-    rows = block_sizes.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    placed = rows.select(*key, "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    flat = placed.select(*key, F.explode(F.arrays_zip("rows", "out")).alias("z"))
-    return flat.select(*key, "z.rows.*", F.col("z.out.pack").alias("pack"), F.col("z.out.at").alias("pack_offset"))
+    placed = ordered_fold(block_sizes.select(*key, "sha256", "block_idx", "stored_bytes"), key, ["sha256", "block_idx"], ["stored_bytes"], lambda: [0, 0], place, "place", "string")
+    at = F.split("place", ":")
+    return placed.select(*key, "sha256", "block_idx", "stored_bytes", at[0].cast("long").alias("pack"), at[1].cast("long").alias("pack_offset"))
 
 
 def index_issues(index: DataFrame) -> DataFrame:
@@ -87,6 +88,73 @@ def visible(states: DataFrame) -> DataFrame:
     return states.select("session_id", data.alias("data"), F.octet_length(data).cast("long").alias("size"))
 
 
+def read_visible(ranges: DataFrame, states: DataFrame) -> DataFrame:
+    """(session_id, lo, hi, data) for ranges [lo, hi) of what sessions show: of a backing, else of base and delta together.
+
+    The base and the delta are cut by themselves, so a range in one of them doesn't touch the other; ranges past the end
+    give what there is.
+    """
+    x = ranges.join(states, "session_id")
+    size = F.coalesce(F.octet_length("base"), F.lit(0))
+
+    def cut(data: Column, lo: Column, hi: Column) -> Column:
+        lo, hi = F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0))
+        return F.when(hi > lo, F.substring(data, (lo + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.lit(b""))
+
+    lo, hi = F.col("lo"), F.col("hi")
+    both = F.concat(cut(F.coalesce("base", F.lit(b"")), lo, F.least(hi, size)), cut(F.coalesce("delta", F.lit(b"")), lo - size, hi - size))
+    return x.select("session_id", "lo", "hi", F.when(F.col("backing").isNotNull(), cut(F.col("backing"), lo, hi)).otherwise(both).alias("data"))
+
+
+def shadow_ranges(sizes: DataFrame, n: int = 16, most: int = 4096, seed: int = 42) -> DataFrame:
+    """(session_id, lo, hi): the whole of each session (session_id, size), and ``n`` ranges that the seed draws."""
+    whole = sizes.select("session_id", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
+    drawn = sizes.where("size > 0").select("session_id", "size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    drawn = drawn.withColumn("lo", F.pmod(F.xxhash64(F.lit(seed), "session_id", "i"), F.col("size")))
+    length = F.pmod(F.xxhash64(F.lit(seed + 1), "session_id", "i"), F.lit(most)) + 1
+    return whole.unionByName(drawn.select("session_id", "lo", F.least(F.col("lo") + length, F.col("size")).alias("hi")))
+
+
+def shadow_compare(ranges: DataFrame, read: DataFrame, native: DataFrame) -> DataFrame:
+    """(session_id, lo, hi) of the ranges whose bytes read virtually differ from the native file's (session_id, data).
+
+    A range that wasn't read is read as no bytes.
+    """
+    wanted = F.substring("data", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    asked = ranges.join(native, "session_id").select("session_id", "lo", "hi", F.sha2(wanted, 256).alias("wanted"))
+    got = read.select("session_id", "lo", "hi", F.sha2("data", 256).alias("got")).distinct()
+    both = asked.distinct().join(got, ["session_id", "lo", "hi"], "left")
+    return both.where(F.col("wanted") != F.coalesce("got", F.sha2(F.lit(b""), 256))).select("session_id", "lo", "hi")
+
+
+def packed_objects(packed_blocks: DataFrame) -> DataFrame:
+    """(sha256, raw_bytes, bytes) of the objects put together from their blocks, which are verified one by one.
+
+    A block whose bytes don't have its digest makes its object null, for ``pack_doctor`` to report.
+    """
+    sound = F.sha2("bytes", 256) == F.col("block_sha256")
+    per = packed_blocks.groupBy("sha256").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_idx)").alias("bytes"), F.bool_and(sound).alias("sound"))
+    return per.select("sha256", F.octet_length("bytes").cast("long").alias("raw_bytes"), F.when(F.col("sound"), F.col("bytes")).alias("bytes"))
+
+
+def pack_doctor(packed_blocks: DataFrame, manifest_parts: DataFrame) -> DataFrame:
+    """(subject, id, issue): every object and every manifest checked through the packs alone.
+
+    Objects: ``gap``, ``damaged_block`` or ``wrong_digest``. Manifests' parts: ``missing_object`` or ``size_mismatch``, one
+    row per session and issue.
+    """
+    order = W.partitionBy("sha256").orderBy("block_idx")
+    gap = F.coalesce(F.lag(F.col("raw_offset") + F.col("raw_bytes")).over(order), F.lit(0)) != F.col("raw_offset")
+    gaps = packed_blocks.withColumn("gap", gap).groupBy("sha256").agg(F.bool_or("gap").alias("gap"))
+    o = packed_objects(packed_blocks).join(gaps, "sha256")
+    issue = F.when(F.col("gap"), "gap").when(F.col("bytes").isNull(), "damaged_block").when(F.sha2("bytes", 256) != F.col("sha256"), "wrong_digest")
+    wrong = o.select(F.lit("object").alias("subject"), F.col("sha256").alias("id"), issue.alias("issue")).where("issue IS NOT NULL")
+    p = manifest_parts.join(o.select("sha256", F.col("raw_bytes").alias("packed")), "sha256", "left")
+    issue = F.when(F.col("packed").isNull(), "missing_object").when(F.col("packed") != F.col("raw_bytes"), "size_mismatch")
+    bad = p.select(F.lit("manifest").alias("subject"), F.col("session_id").cast("string").alias("id"), issue.alias("issue")).where("issue IS NOT NULL").distinct()
+    return wrong.unionByName(bad)
+
+
 def retirable(loose: DataFrame, packed: DataFrame, pack_issues: int, loose_issues: int) -> DataFrame:
     """Loose objects that packs hold too, if neither doctor has an issue; else none."""
     found = loose.join(packed.select("sha256"), "sha256", "left_semi")

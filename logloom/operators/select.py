@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.folds import ordered_fold
+
 SAFE_ID = r"^(?!\.{1,2}$)[^/\\\x00]+$"
 
 
@@ -49,16 +51,23 @@ def largest_first(catalog: DataFrame) -> DataFrame:
 def greedy_within(catalog: DataFrame, cap: int, group: str | None = None) -> DataFrame:
     """Sessions taken largest first while they fit into ``cap`` bytes; one that doesn't fit is skipped, later ones may.
 
-    The choice depends on all larger sessions, so it is a fold over the sorted sizes of a group. Sessions larger
-    than the cap can never fit and are dropped before; the fold sees (size, id) only.
+    The choice depends on all larger sessions, so it is a fold in the order of size, streamed over (size, id) of a
+    group; ties go to the smaller id. Sessions larger than the cap can never fit and are dropped before.
     """
     key = [group] if group else []
-    fit = catalog.where(F.col("size") <= cap)
-    ordered = fit.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("negative"), F.col("id")))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
-    step = lambda a, x: F.when(a["used"] - x["negative"] <= cap, F.struct((a["used"] - x["negative"]).alias("used"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
-    chosen = ordered.select(*key, F.explode(F.aggregate("s", start, step)["ids"]).alias("id"))
-    return catalog.join(chosen, [*key, "id"], "left_semi")
+
+    def fits(state: list, _id: str, size: int) -> bool:
+        if state[0] + size > cap:
+            return False
+        state[0] += size
+        return True
+
+    fit = catalog.where(F.col("size") <= cap).select(*key, "id", "size").withColumn("negative", -F.col("size"))
+    chosen = ordered_fold(fit, key, ["negative", "id"], ["id", "size"], lambda: [0], fits, "fits", "boolean").where("fits")
+    same = F.lit(True)
+    for c in [*key, "id"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return catalog.alias("a").join(chosen.alias("b"), same, "left_semi")
 
 
 def session(catalog: DataFrame, session_id: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,17 @@ def signatures(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def trace_digest(lines: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
-    """(trace_sha256) of all lines, each with a newline: one digest of one trace file, so its lines meet in one task."""
-    return lines.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: F.concat(x[line], F.lit("\n"))), ""), 256).alias("trace_sha256"))
+    """(trace_sha256) of all lines, each with a newline: one digest of one trace file, so its lines stream through one task."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for batch in batches:
+            for x in batch["line"].to_pylist():
+                h.update((x or "").encode() + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["trace_sha256"])
+
+    one = lines.select(F.col(order).alias("line_no"), F.col(line).alias("line"))
+    return one.repartition(1).sortWithinPartitions("line_no", "line").mapInArrow(digest, "trace_sha256 string")
 
 
 def unknown_clients(observed: DataFrame, contracts: DataFrame) -> DataFrame:
