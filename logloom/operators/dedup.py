@@ -13,8 +13,11 @@ LAYERS = ("cdc", "field", "record")
 
 
 def normalize_layers(layers: str = "") -> tuple[str, ...]:
-    """Comma-separated layer names in canonical order; none named means all; an unknown one is an error."""
-    names = {x.strip().lower() for x in layers.split(",") if x.strip()} or set(LAYERS)
+    """Comma-separated layer names in canonical order; blank means all; an unknown one, or commas alone, is an error."""
+    names = {x.strip().lower() for x in layers.split(",") if x.strip()}
+    if not names and layers.strip():
+        raise ValueError("no layer is named")
+    names = names or set(LAYERS)
     if unknown := sorted(names - set(LAYERS)):
         raise ValueError(f"unknown layers: {', '.join(unknown)}")
     return tuple(x for x in LAYERS if x in names)
@@ -30,6 +33,11 @@ def observations(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy("session_id", "layer", "digest", "size").agg(F.count("*").alias("occurrences"), F.min_by("path", "pos").alias("sample_path"))
 
 
+def paths(sightings: DataFrame) -> DataFrame:
+    """(path, fields, field_bytes): sightings and their bytes by path. An observation has one path, sightings have all."""
+    return sightings.groupBy("path").agg(F.count("*").alias("fields"), F.sum("size").alias("field_bytes"))
+
+
 def objects(observed: DataFrame) -> DataFrame:
     """One row per layer, digest and size over all sessions; the sample is the least path that isn't empty, else ''."""
     return observed.groupBy("layer", "digest", "size").agg(F.sum("occurrences").alias("occurrences"), F.coalesce(F.min(F.nullif("sample_path", F.lit(""))), F.lit("")).alias("sample_path"))
@@ -67,6 +75,14 @@ def share_percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
+def report(stats: DataFrame, scanned_bytes: Column) -> DataFrame:
+    """``layer_stats`` with each layer's share of duplicate bytes in percent, and the row as a line of text and of JSON."""
+    r = stats.withColumn("duplicate_percent", F.round(share_percent(F.col("duplicate_bytes"), scanned_bytes), 2))
+    text = F.format_string("%s: %d objects, %d unique, %d duplicate bytes (%.2f%%)", "layer", "object_count", "unique_objects", "duplicate_bytes", "duplicate_percent")
+    columns = ["layer", "object_count", "unique_objects", "total_bytes", "unique_bytes", "duplicate_occurrences", "duplicate_bytes", "duplicate_percent"]
+    return r.select(*columns, text.alias("text"), F.to_json(F.struct(*columns)).alias("json"))
+
+
 def counters(records: DataFrame, min_field: int, max_line: int, spans: Column | None = None) -> DataFrame:
     """Per session: records, bytes, oversized lines and, given parsed ``spans``, valid and invalid lines and fields.
 

@@ -29,6 +29,19 @@ def family(edges: DataFrame, catalog_ids: DataFrame, seed: int) -> DataFrame:
     return members.join(there, "node", "left").select("node", F.coalesce("there", F.lit(False)).alias("in_catalog"))
 
 
+def family_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges between members (node) of a family, each once, in order; of the members, ``missing`` names those without a session."""
+    inside = members.select("node")
+    e = edges.select("parent_id", "child_id").distinct()
+    e = e.join(inside.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi").join(inside.withColumnRenamed("node", "child_id"), "child_id", "left_semi")
+    return e.select("parent_id", "child_id").orderBy("parent_id", "child_id")
+
+
+def missing(members: DataFrame) -> DataFrame:
+    """(node) of the family's members that the catalog lacks, in order."""
+    return members.where(~F.col("in_catalog")).select("node").orderBy("node")
+
+
 def relation(edges: DataFrame, catalog_ids: DataFrame, seed: int) -> DataFrame:
     """(node, relation) of all catalog sessions to ``seed``: seed, ancestor, descendant, collateral or none."""
     start = catalog_ids.where(F.col("id") == seed).select(F.col("id").alias("node"))

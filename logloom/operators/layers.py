@@ -14,6 +14,8 @@ def field_layer(records: DataFrame, least: int, max_line: int = 32 << 20) -> Dat
 
     Records above ``max_line`` bytes and records that don't parse have none.
     """
+    # a record shorter than the least token has none, and is spared the tokenizer
+    records = records.where(F.octet_length("record") >= least)
     data = F.when(F.octet_length("record") <= max_line, F.to_binary("record", F.lit("utf-8")))
     spans = records.select("session_id", "rec_idx", data.alias("data")).where("data IS NOT NULL").withColumn("found", find_string_spans(least)("data"))
     fields = spans.select("session_id", "rec_idx", "data", F.posexplode("found.spans").alias("i", "s"))

@@ -61,11 +61,12 @@ def regressions(records: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def conversation_kind(record: Column) -> Column:
-    """user or assistant for messages and their events with a timestamp, as ``type:kind``; else ''."""
+    """user or assistant for messages and their events with a timestamp (null will do), as ``type:kind``; else ''."""
     at = lambda path: F.get_json_object(record, path)
     message = (at("$.type") == "response_item") & (at("$.payload.type") == "message") & at("$.payload.role").isin("user", "assistant")
     event = (at("$.type") == "event_msg") & at("$.payload.type").isin("user_message", "agent_message")
-    kind = F.when(at("$.timestamp").isNull(), "").when(message, F.concat(F.lit("response_item:"), at("$.payload.role"))).when(event, F.concat(F.lit("event_msg:"), at("$.payload.type")))
+    stamped = F.array_contains(F.json_object_keys(record), "timestamp")
+    kind = F.when(~F.coalesce(stamped, F.lit(False)), "").when(message, F.concat(F.lit("response_item:"), at("$.payload.role"))).when(event, F.concat(F.lit("event_msg:"), at("$.payload.type")))
     return F.coalesce(kind, F.lit(""))
 
 
@@ -80,6 +81,20 @@ def chains(records: DataFrame) -> DataFrame:
     return d.groupBy("session_id").agg(hash_chain(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"])).alias("chain"))
 
 
+def integrity(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(session_id, source_chain, output_chain, intact): whether all conversation records came through, in order.
+
+    Both have (session_id, rec_idx, record) and are compared by the hash chains of their user and assistant records; a
+    session without any has the empty chain. Other records may be mended or salvaged.
+    """
+    talk = lambda r: chains(r.where(conversation_kind(F.col("record")) != ""))
+    ids = source.select("session_id").unionByName(output.select("session_id")).distinct()
+    x = ids.join(talk(source).withColumnRenamed("chain", "s"), "session_id", "left").join(talk(output).withColumnRenamed("chain", "o"), "session_id", "left")
+    none = F.lit("0" * 64)
+    x = x.select("session_id", F.coalesce("s", none).alias("source_chain"), F.coalesce("o", none).alias("output_chain"))
+    return x.withColumn("intact", F.col("source_chain") == F.col("output_chain"))
+
+
 def verify_merge(merged: DataFrame, expected: DataFrame) -> DataFrame:
     """(session_id, ok): the merge has the number of records that ``analyze`` expects, in time order."""
     found = regressions(merged, "ord")

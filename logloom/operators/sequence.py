@@ -51,6 +51,31 @@ def shared_prefix(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.select("left_id", "right_id").join(found, ["left_id", "right_id"], "left").select("left_id", "right_id", F.coalesce("prefix", F.lit(0)).cast("long").alias("prefix"))
 
 
+def _anchors(needle: DataFrame, hay: DataFrame) -> DataFrame:
+    """(needle_id, records, anchor, digest, size): the record of each needle that is rarest among the haystacks."""
+    df = hay.groupBy("digest", "size").agg(F.count("*").alias("seen"))
+    rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("ord"), F.col("digest"), F.col("size"))
+    found = needle.join(df, ["digest", "size"], "left").groupBy("session_id").agg(F.min(rarity).alias("a"), F.max("n").alias("n"))
+    return found.select(F.col("session_id").alias("needle_id"), F.col("n").alias("records"), F.col("a.ord").alias("anchor"), F.col("a.digest").alias("digest"), F.col("a.size").alias("size"))
+
+
+def _along(diagonals: DataFrame, needle: DataFrame, hay: DataFrame) -> DataFrame:
+    """(needle_id, container_id, records, at): the first place of those where all records are equal.
+
+    Digests and sizes decide who is compared in full; the bytes are then compared at places that match throughout.
+    """
+    at = diagonals.where("needle_id <> container_id AND at >= 0 AND at + records <= length").select("needle_id", "container_id", "records", "at")
+
+    def met(places: DataFrame, *columns: str) -> DataFrame:
+        lines = places.join(needle.select(F.col("session_id").alias("needle_id"), F.col("ord").alias("o"), *columns), "needle_id").withColumn("place", F.col("at") + F.col("o"))
+        there = hay.select(F.col("session_id").alias("container_id"), F.col("ord").alias("place"), *columns)
+        both = lines.join(there, ["container_id", "place", *columns])
+        whole = both.groupBy("needle_id", "container_id", "records", "at").agg(F.count("*").alias("matched"))
+        return whole.where("matched = records").select("needle_id", "container_id", "records", "at")
+
+    return met(met(at, "digest", "size"), "record").groupBy("needle_id", "container_id", "records").agg(F.min("at").alias("at"))
+
+
 def containment(needles: DataFrame, haystacks: DataFrame | None = None) -> DataFrame:
     """(needle_id, container_id, records, at): sessions whose records stand contiguously in another, at the first place.
 
@@ -60,23 +85,30 @@ def containment(needles: DataFrame, haystacks: DataFrame | None = None) -> DataF
     """
     needle = numbered(needles)
     hay = needle if haystacks is None else numbered(haystacks)
-    df = hay.groupBy("digest", "size").agg(F.count("*").alias("seen"))
-    rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("ord"), F.col("digest"), F.col("size"))
-    anchors = needle.join(df, ["digest", "size"], "left").groupBy("session_id").agg(F.min(rarity).alias("a"), F.max("n").alias("n"))
-    anchors = anchors.select(F.col("session_id").alias("needle_id"), F.col("n").alias("records"), F.col("a.ord").alias("anchor"), F.col("a.digest").alias("digest"), F.col("a.size").alias("size"))
     places = hay.select(F.col("session_id").alias("container_id"), F.col("ord").alias("there"), F.col("n").alias("length"), "digest", "size")
-    diagonals = anchors.join(places, ["digest", "size"]).where("needle_id <> container_id").withColumn("at", F.col("there") - F.col("anchor"))
-    diagonals = diagonals.where("at >= 0 AND at + records <= length").select("needle_id", "container_id", "records", "at")
-    lines = diagonals.join(needle.select(F.col("session_id").alias("needle_id"), F.col("ord").alias("o"), F.col("record").alias("x")), "needle_id").withColumn("place", F.col("at") + F.col("o"))
-    met = lines.join(hay.select(F.col("session_id").alias("container_id"), F.col("ord").alias("place"), F.col("record").alias("y")), ["container_id", "place"]).where("x = y")
-    whole = met.groupBy("needle_id", "container_id", "records", "at").agg(F.count("*").alias("matched")).where("matched = records")
-    return whole.groupBy("needle_id", "container_id", "records").agg(F.min("at").alias("at"))
+    diagonals = _anchors(needle, hay).join(places, ["digest", "size"]).withColumn("at", F.col("there") - F.col("anchor"))
+    return _along(diagonals, needle, hay)
+
+
+def contained(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Of the ``pairs`` (needle_id, container_id) those where the container holds the needle; only their sessions are looked at."""
+    asked = pairs.select("needle_id", "container_id").distinct()
+    ids = asked.select(F.col("needle_id").alias("session_id")).unionByName(asked.select(F.col("container_id").alias("session_id"))).distinct()
+    r = numbered(records.join(ids, "session_id", "left_semi"))
+    places = r.select(F.col("session_id").alias("container_id"), F.col("ord").alias("there"), F.col("n").alias("length"), "digest", "size")
+    diagonals = asked.join(_anchors(r, r), "needle_id").join(places, ["container_id", "digest", "size"]).withColumn("at", F.col("there") - F.col("anchor"))
+    return _along(diagonals, r, r)
 
 
 def pair_relation(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The class of each pair: identical, left or right contained, independent tails, shared records, unknown."""
+    """The class of each pair: identical, left or right contained, independent tails, shared records, unknown.
+
+    A leading session_meta record belongs to the session, not to what was said in it, and is left out throughout.
+    """
+    records = without_meta(records)
     found = shared_prefix(pairs, records).join(shared_records(pairs, records), ["left_id", "right_id"])
-    held = containment(records).select("needle_id", "container_id", F.lit(True).alias("held"))
+    ways = pairs.select(F.col("left_id").alias("needle_id"), F.col("right_id").alias("container_id")).unionByName(pairs.select(F.col("right_id").alias("needle_id"), F.col("left_id").alias("container_id")))
+    held = contained(ways, records).select("needle_id", "container_id", F.lit(True).alias("held"))
     found = found.join(held.select(F.col("needle_id").alias("left_id"), F.col("container_id").alias("right_id"), F.col("held").alias("l")), ["left_id", "right_id"], "left")
     found = found.join(held.select(F.col("needle_id").alias("right_id"), F.col("container_id").alias("left_id"), F.col("held").alias("r")), ["left_id", "right_id"], "left")
     left, right = F.coalesce("l", F.lit(False)), F.coalesce("r", F.lit(False))
