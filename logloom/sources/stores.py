@@ -5,9 +5,13 @@ Schemas are fixed; nothing is inferred. Missing folders are empty tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.operators.select import SAFE_ID
+
 MANIFEST = "version int, kind string, created_at string, session struct<id:string>, source struct<bytes:long,sha256:string>, parts array<struct<kind:string,json_path:string,sha256:string,raw_bytes:long,stored_bytes:long>>"
 OBSERVATION = "session_id string, path string, size long, mtime long, stable_since long"
 CONTRACT = "platform string, kind string, version string, operations array<struct<name:string,count:long>>"
@@ -84,6 +88,53 @@ def load_contracts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTRACT).option("recursiveFileLookup", True).json(path).orderBy("platform", "kind", "version")
 
 
+def save_contract(spark: SparkSession, path: str, platform: str, kind: str, version: str, operations: DataFrame) -> str:
+    """Write a contract of (name, count) operations as one JSON line below ``path``; returns its folder.
+
+    Its name is made of the three parts, in which all but letters, digits, dots and dashes become dashes; a part that is
+    blank or only dots is an error.
+    """
+    parts = [re.sub(r"[^A-Za-z0-9.-]+", "-", x.strip()) for x in (platform, kind, version)]
+    if not all(x.strip(".-") for x in parts):
+        raise ValueError("a contract needs a platform, a kind and a version")
+    target = f"{path}/{'_'.join(parts)}"
+    listed = operations.agg(F.sort_array(F.collect_list(F.struct("name", "count"))).alias("operations"))  # one row per operation name
+    row = listed.select(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), F.lit(version).alias("version"), "operations")
+    row.coalesce(1).write.mode("overwrite").json(target)
+    return target
+
+
+AUDIT = "at long, sha256 string, raw_bytes long, generation string"
+
+
+def audit_retirement(retired: DataFrame, path: str, generation: str, at: int) -> None:
+    """Append the loose objects (sha256, raw_bytes) that a pack generation retires to the audit table, once per generation."""
+    rows = retired.select(F.lit(at).cast("long").alias("at"), "sha256", F.col("raw_bytes").cast("long").alias("raw_bytes"), F.lit(generation).alias("generation"))
+    rows.write.mode("overwrite").parquet(f"{path}/of={generation}")
+
+
+def load_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT).parquet(path).select(*[c.split()[0] for c in AUDIT.split(", ")]) if exists(spark, path) else spark.createDataFrame([], AUDIT)
+
+
+STATE = "session_id string, generation long, base_bytes long, delta_bytes long, backing_bytes long"
+
+
+def session_states(spark: SparkSession, root: str) -> DataFrame:
+    """The states that state.json files below ``root`` give, in the order of session ids; an invalid one is an error.
+
+    A state needs an id that is a plain name and equals its folder's, a generation of 1 or more, and no negative size.
+    """
+    if not exists(spark, root):
+        return spark.createDataFrame([], STATE)
+    found = spark.read.schema(STATE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "state.json").json(root)
+    found = found.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/state\.json$", 1))
+    sizes = [F.coalesce(F.col(c), F.lit(0)) >= 0 for c in ("base_bytes", "delta_bytes", "backing_bytes")]
+    sound = F.col("session_id").rlike(SAFE_ID) & (F.col("session_id") == F.url_decode("folder")) & (F.col("generation") >= 1) & sizes[0] & sizes[1] & sizes[2]
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("session_id")).otherwise(F.raise_error(F.concat(F.lit("invalid state in "), F.col("folder"))).cast("string"))
+    return found.withColumn("session_id", checked).drop("folder").orderBy("session_id")
+
+
 def object_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, mtime) of the loose .zst objects below ``path``; their bytes aren't read."""
     if not exists(spark, path):

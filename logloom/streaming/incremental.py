@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators import dedup
+from logloom.functions.cdc import Bounds
+from logloom.operators import dedup, layers
 from logloom.sources.tables import split_records
 
 
@@ -60,13 +61,49 @@ def record_tail(planned: DataFrame, observed: DataFrame) -> DataFrame:
     return both.groupBy("session_id", "layer", "digest", "size").agg(F.sum("occurrences").alias("occurrences"), F.first("sample_path").alias("sample_path"))
 
 
+def sightings_after(planned: DataFrame, layer: str, least: int = 1, bounds: Bounds = Bounds()) -> DataFrame:
+    """Sightings of the field or chunk layer in what a scan must read: grown sessions' tails, and new sessions whole.
+
+    Fields don't cross lines, and known bytes end with one, so a tail has its fields by itself. Chunks go on across the
+    seam, so a grown session is cut anew from its beginning; ``rescanned`` says whose old chunks to forget.
+    """
+    data = F.to_binary(F.coalesce("text", F.lit("")), F.lit("utf-8"))
+    if layer == "cdc":
+        whole = planned.where("mode IN ('tail', 'whole')").select("session_id", data.alias("data"))
+        return layers.cdc_layer(whole, "session_id", "data", bounds)
+    known = F.when(F.col("mode") == "tail", F.col("known")).otherwise(0)
+    tails = planned.where("mode IN ('tail', 'whole')").select("session_id", F.substring(data, (known + 1).cast("int"), F.lit(2147483647)).cast("string").alias("tail"))
+    return layers.field_layer(split_records(tails, "session_id", "tail"), least)
+
+
+def layer_after(planned: DataFrame, observed: DataFrame, layer: str, least: int = 1, bounds: Bounds = Bounds()) -> DataFrame:
+    """Observations of the field or chunk layer after the scan, equal to those of a full scan but for sample paths."""
+    known = observed.where(F.col("layer") == layer)
+    if layer == "cdc":
+        known = known.join(planned.where("mode = 'tail'").select("session_id"), "session_id", "left_anti")
+    both = known.unionByName(dedup.observations(sightings_after(planned, layer, least, bounds)))
+    return both.groupBy("session_id", "layer", "digest", "size").agg(F.sum("occurrences").alias("occurrences"), F.first("sample_path").alias("sample_path"))
+
+
+def may_prune(incremental: bool, everything: bool, archived_filter: bool, limit: int = 0, byte_cap: int = 0) -> bool:
+    """Whether a scan saw enough to tell that sessions vanished: incremental, over all sessions, without filter or limits."""
+    return incremental and everything and not archived_filter and limit <= 0 and byte_cap <= 0
+
+
 def pruned(observed: DataFrame, sessions: DataFrame) -> DataFrame:
     """Observations of the sessions that are still there."""
     return observed.join(sessions.select("session_id"), "session_id", "left_semi")
 
 
 def changed_during_scan(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(session_id) whose size or mtime changed between two listings, or that vanished."""
+    """(session_id) whose size or mtime changed between two listings, or that vanished.
+
+    Listings with a ``prefix`` (the digest of the bytes that were scanned, taken again afterwards) are compared by that too:
+    a session that only grew isn't the same one if its beginning changed.
+    """
+    if "prefix" in before.columns and "prefix" in after.columns:
+        now = after.select("session_id", F.struct("size", "mtime", "prefix").alias("now"))
+        return before.join(now, "session_id", "left").where(~F.struct("size", "mtime", "prefix").eqNullSafe(F.col("now"))).select("session_id")
     a = after.select("session_id", F.struct("size", "mtime").alias("now"))
     return before.join(a, "session_id", "left").where(~F.struct("size", "mtime").eqNullSafe(F.col("now"))).select("session_id")
 
