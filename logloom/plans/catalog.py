@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import dedup, relations, storage  # noqa: F401  (they register their queries)
+from logloom.plans import dedup, maintenance, relations, storage  # noqa: F401  (they register their queries)
 from logloom.plans.registry import ORACLES, QUERIES
 
 

@@ -54,7 +54,10 @@ def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT left_id, right_id, prefix, shared, CASE WHEN l AND r THEN 'identical' WHEN l THEN 'left_contained' WHEN r THEN 'right_contained' WHEN prefix > 0 THEN 'independent_tails' WHEN shared > 0 THEN 'shared_records' ELSE 'unknown' END AS relation,
         l OR r OR prefix > 0 OR shared > 0 AS verified_exact FROM f""")
 def pair_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.pair_relation(_pairs(spark, sf_dir), document_records(spark, sf_dir))
+    """Each session begins with a meta record of its own, which must not count."""
+    r = document_records(spark, sf_dir)
+    meta = r.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("rec_idx"), F.concat(F.lit('{"type":"session_meta","payload":{"id":'), F.col("session_id").cast("string"), F.lit("}}\n")).alias("record"))
+    return sequence.pair_relation(_pairs(spark, sf_dir), meta.unionByName(r.withColumn("rec_idx", F.col("rec_idx") + 1)))
 
 
 @query(f"""WITH {RECORDS} SELECT session_id, rec_idx, sum(strlen(record)) OVER (PARTITION BY session_id ORDER BY rec_idx)::BIGINT AS "end", (sum(strlen(record)) OVER (PARTITION BY session_id ORDER BY rec_idx) - strlen(record))::BIGINT AS start FROM records""")
@@ -85,7 +88,7 @@ def graph_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BRANCHES = """ev AS (SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) * 1000 AS epoch_ns, sha256(event_type || '|' || coalesce(props, '')) AS digest, strlen(event_type || '|' || coalesce(props, ''))::BIGINT AS size, event_id FROM events WHERE user_id IS NOT NULL),
-    base AS (SELECT * FROM ev WHERE event_id % 3 <> 0), branch AS (SELECT * FROM ev WHERE event_id % 2 = 0),
+    base AS (SELECT * FROM ev WHERE event_id % 3 <> 0), branch AS (SELECT * FROM ev WHERE event_id % 2 = 0 OR event_id % 3 = 0),
     added AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY session_id, digest, size ORDER BY seq) AS copy FROM branch b) x LEFT JOIN (SELECT session_id, digest, size, count(*) AS have FROM base GROUP BY ALL) h USING (session_id, digest, size) WHERE copy > coalesce(have, 0))"""
 
 
@@ -95,7 +98,7 @@ def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = ev.select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("epoch_ns"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("size"), "event_id"
     )
-    return ev.where("event_id % 3 <> 0").drop("event_id"), ev.where("event_id % 2 = 0").drop("event_id")
+    return ev.where("event_id % 3 <> 0").drop("event_id"), ev.where("event_id % 2 = 0 OR event_id % 3 = 0").drop("event_id")
 
 
 @query(f"""WITH {BRANCHES}, b AS (SELECT session_id, count(*) AS nb FROM base GROUP BY ALL), r AS (SELECT session_id, count(*) AS nr FROM branch GROUP BY ALL), a AS (SELECT session_id, count(*) AS na FROM added GROUP BY ALL)

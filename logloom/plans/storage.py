@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text as text_functions
 from logloom.functions.cdc import Bounds
 from logloom.operators import dedup, enroll, fold, layers, pack, preflight, store, trace
+from logloom.plans.chunks import CONVERSATION, ESCAPED, cdc
 from logloom.plans.dedup import OBJECTS, RECORDS
 from logloom.plans.registry import query
 from logloom.sources.shared import stage
@@ -18,7 +19,6 @@ FIELD_BYTES, PAGE_FIELD_BYTES = 64, 4096
 BOUNDS = Bounds(64, 256, 1024)
 SETTINGS = fold.FoldSettings(FIELD_BYTES, BOUNDS)
 
-ESCAPED = """'"' || replace(replace(replace({0}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"'"""
 #: String tokens of conversation records that are long enough, with their paths.
 TOKENS = """t AS (SELECT conv_id AS session_id, turn, unnest([struct_pack(path := '/type', token := '"response_item"'), struct_pack(path := '/timestamp', token := '"' || '2026-01-01T00:00:00Z' || '"'),
     struct_pack(path := '/payload/type', token := '"message"'), struct_pack(path := '/payload/role', token := {role}), struct_pack(path := '/payload/text', token := {text})]) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
@@ -37,7 +37,7 @@ def field_layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT path, count(*) AS fields, sum(strlen(token))::BIGINT AS field_bytes FROM tokens GROUP BY path")
 def field_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fields(spark, sf_dir).groupBy(F.col("sample_path").alias("path")).agg(F.sum("occurrences").alias("fields"), F.sum(F.col("size") * F.col("occurrences")).alias("field_bytes"))
+    return dedup.paths(layers.field_layer(conversation_records(spark, sf_dir), FIELD_BYTES))
 
 
 @query(f"""WITH o AS (SELECT sha256(token) AS digest, strlen(token)::BIGINT AS size, count(*) AS n FROM (SELECT {ESCAPED.format("coalesce(html, '')")} AS token FROM pages UNION ALL SELECT {ESCAPED.format("coalesce(url, '')")} FROM pages)
@@ -46,13 +46,14 @@ def page_field_layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.layer_stats(dedup.observations(layers.field_layer(page_records(spark, sf_dir), PAGE_FIELD_BYTES)))
 
 
-@query()
+@query(f"WITH RECURSIVE texts AS (SELECT doc_id AS session_id, coalesce(text, '') AS data FROM documents), {cdc('texts', BOUNDS)}, o AS (SELECT digest, size, count(*) AS n FROM cdc GROUP BY ALL) SELECT 'cdc' AS layer, {STATS} FROM o")
 def cdc_layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return dedup.layer_stats(dedup.observations(layers.cdc_layer(docs, "doc_id", "text", BOUNDS)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONVERSATION}, {TOKENS}, {cdc('whole', BOUNDS)}, o AS (SELECT 'cdc' AS layer, digest, size, count(*) AS n FROM cdc GROUP BY ALL UNION ALL SELECT 'record', sha256(record), strlen(record)::BIGINT, count(*) FROM talk GROUP BY ALL
+    UNION ALL SELECT 'field', sha256(token), strlen(token)::BIGINT, count(*) FROM tokens GROUP BY ALL) SELECT layer, {STATS} FROM o GROUP BY layer""")
 def all_layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three layers of the conversations' sessions, side by side."""
     records = conversation_records(spark, sf_dir)
@@ -74,10 +75,14 @@ def fold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).drop("bytes", "stored_bytes")
 
 
-@query("SELECT conv_id AS session_id, true AS verified FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id")
+@query(f"WITH {CONVERSATION} SELECT session_id, sha256(data) AS digest, strlen(data)::BIGINT AS raw_bytes, session_id % 3 <> 0 AS verified FROM whole")
 def fold_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the unfolded parts are, and whether that is the source; every third source has changed since."""
     sessions = _sessions(spark, sf_dir)
-    return fold.verify(fold.fold_parts(sessions, "session_id", "data", SETTINGS), sessions, "session_id", "data").select("session_id", "verified")
+    parts = stage(fold.fold_parts(sessions, "session_id", "data", SETTINGS), "parts")
+    changed = sessions.withColumn("data", F.when(F.col("session_id") % 3 == 0, F.concat("data", F.lit(" "))).otherwise(F.col("data")))
+    back = fold.unfold(parts).select("session_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("raw_bytes"))
+    return back.join(fold.verify(parts, changed, "session_id", "data").select("session_id", "verified"), "session_id")
 
 
 @query(f'''WITH {TOKENS}, o AS (SELECT token, count(*) AS n FROM tokens GROUP BY token) SELECT 'field' AS kind, sum(n)::BIGINT AS parts, count(*) AS "unique", sum(n - 1)::BIGINT AS reused, sum(strlen(token))::BIGINT AS unique_raw_bytes FROM o''')
@@ -85,13 +90,13 @@ def fold_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.reuse(_parts(spark, sf_dir)).where("kind = 'field'").drop("new_stored_bytes")
 
 
-#: Manifests: a part for each record of a document; objects that no manifest has come from odd benchmark items.
-MANIFEST = RECORDS + ", parts AS (SELECT session_id, rec_idx AS part_idx, sha256(record) AS sha256, strlen(record)::BIGINT AS raw_bytes, record FROM records WHERE session_id % 4 <> 0)"
+#: Manifests: a part for each record of a document.
+MANIFEST = RECORDS + ", parts AS (SELECT session_id, rec_idx AS part_idx, sha256(record) AS sha256, strlen(record)::BIGINT AS raw_bytes, record FROM records)"
 STORED = "objects AS (SELECT DISTINCT sha256(record) AS sha256, strlen(record)::BIGINT AS raw_bytes, record FROM records)"
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = document_records(spark, sf_dir).where("session_id % 4 <> 0")
+    r = document_records(spark, sf_dir)
     return r.select("session_id", F.col("rec_idx").alias("part_idx"), F.lit("residual").alias("kind"), F.sha2("record", 256).alias("sha256"), F.octet_length("record").cast("long").alias("raw_bytes"))
 
 
@@ -100,9 +105,10 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.sha2("record", 256).alias("sha256"), F.octet_length("record").cast("long").alias("raw_bytes"), F.to_binary("record", F.lit("utf-8")).alias("bytes")).dropDuplicates(["sha256"])
 
 
-@query(f"WITH {MANIFEST}, {STORED} SELECT sha256, raw_bytes FROM objects WHERE sha256 NOT IN (SELECT sha256 FROM parts)")
+@query(f"WITH {MANIFEST}, {STORED} SELECT sha256, raw_bytes FROM objects WHERE sha256 NOT IN (SELECT sha256 FROM parts WHERE session_id % 4 <> 0)")
 def orphan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.orphans(_objects(spark, sf_dir).drop("bytes"), _manifest(spark, sf_dir))
+    """Objects of all documents, of which every fourth has lost its manifest."""
+    return fold.orphans(_objects(spark, sf_dir).drop("bytes"), _manifest(spark, sf_dir).where("session_id % 4 <> 0"))
 
 
 @query(f"""WITH {MANIFEST} SELECT session_id, part_idx, CASE WHEN sha256 LIKE 'a%' THEN 'missing_object' ELSE 'size_mismatch' END AS issue FROM parts WHERE sha256 LIKE 'a%' OR session_id % 11 = 1""")
@@ -123,9 +129,13 @@ def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.blocks(_objects(spark, sf_dir), 64).select("sha256", "block_idx", "raw_offset", "raw_bytes")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RECORDS}, {STORED}, c AS (SELECT sha256, raw_bytes, unnest(range((raw_bytes + 1023) // 1024)) AS block_idx FROM objects),
+    b AS (SELECT left(sha256, 2) AS shard, sha256, block_idx, least(1024, raw_bytes - block_idx * 1024)::BIGINT AS stored_bytes, row_number() OVER (PARTITION BY left(sha256, 2) ORDER BY sha256, block_idx) AS k FROM c),
+    p AS (SELECT shard, sha256, block_idx, stored_bytes, k, 0::BIGINT AS pack, 0::BIGINT AS pack_offset FROM b WHERE k = 1
+        UNION ALL SELECT b.shard, b.sha256, b.block_idx, b.stored_bytes, b.k, p.pack + (p.pack_offset + p.stored_bytes + b.stored_bytes > 16384)::BIGINT, CASE WHEN p.pack_offset + p.stored_bytes + b.stored_bytes > 16384 THEN 0 ELSE p.pack_offset + p.stored_bytes END
+        FROM p JOIN b ON b.shard = p.shard AND b.k = p.k + 1) SELECT shard, sha256, block_idx, stored_bytes, pack, pack_offset FROM p""")
 def pack_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = pack.blocks(_objects(spark, sf_dir), 1024).select("sha256", "block_idx", F.col("raw_bytes").alias("stored_bytes"), F.substring("sha256", 1, 1).alias("shard"))
+    sizes = pack.blocks(_objects(spark, sf_dir), 1024).select("sha256", "block_idx", F.col("raw_bytes").alias("stored_bytes"), F.substring("sha256", 1, 2).alias("shard"))
     return pack.rotate(sizes, 16384, "shard")
 
 
@@ -275,9 +285,17 @@ def journal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.recovered(e.select(F.col("user_id").alias("operation"), F.col("event_id").alias("seq"), phase.alias("phase")))
 
 
-@query("SELECT conv_id AS session_id, true AS complete FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id")
+@query("""WITH t AS (SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+    SELECT session_id, session_id % 5 <> 0 AND session_id % 7 <> 0 AS complete, CASE WHEN session_id % 7 = 0 THEN 1 WHEN session_id % 5 = 0 THEN max(turn) + 1 END::BIGINT AS line, CASE WHEN session_id % 7 = 0 THEN 'invalid_json' WHEN session_id % 5 = 0 THEN 'no_newline' END AS issue FROM t GROUP BY session_id""")
 def preflight_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preflight.complete_jsonl(conversation_records(spark, sf_dir))
+    """Sessions of which every fifth lacks its last newline, and every seventh has a first line that isn't JSON."""
+    r = conversation_records(spark, sf_dir)
+    last = r.groupBy("session_id").agg(F.max("rec_idx").alias("last"), F.min("rec_idx").alias("first"))
+    r = r.join(last, "session_id")
+    text = F.when((F.col("session_id") % 7 == 0) & (F.col("rec_idx") == F.col("first")), F.concat(F.lit("}"), "record"))
+    text = text.when((F.col("session_id") % 5 == 0) & (F.col("rec_idx") == F.col("last")), F.rtrim("record", F.lit("\n"))).otherwise(F.col("record"))
+    r = r.select("session_id", "rec_idx", text.alias("record"))
+    return preflight.complete_jsonl(r).join(preflight.first_issue(r), "session_id", "left")
 
 
 @query("""SELECT doc_id, sha256(encode(text)[1:64]) AS head, sha256(encode(text)[greatest(octet_length(encode(text)) - 63, 1):octet_length(encode(text))]) AS tail FROM documents WHERE text IS NOT NULL""")
