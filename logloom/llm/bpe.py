@@ -31,6 +31,9 @@ STEP_BYTES = 1 << 20
 #: Bytes of text for each of the buckets to which words are shuffled.
 BUCKET_BYTES = 64 << 20
 
+#: Ids that are joined with the token-byte table at a time.
+DECODED_IDS = 1 << 18
+
 CODES = -1  # in place of a bucket
 
 
@@ -42,10 +45,10 @@ def _encoding(ranks_file: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 @functools.lru_cache(maxsize=4)
-def _token_bytes(ranks_file: bytes) -> pa.Array:
-    """The token-byte table as an array with the token's bytes at its id (null where an id is unused)."""
-    pairs = {int(rank): base64.b64decode(token) for token, rank in (x.split() for x in ranks_file.splitlines() if x)}
-    return pa.array([pairs.get(i) for i in range(max(pairs) + 1)], pa.large_binary())
+def _token_table(ranks_file: bytes) -> pa.Table:
+    """The token-byte table: (id, token), one row per token of the vocabulary."""
+    pairs = [(int(rank), base64.b64decode(token)) for token, rank in (x.split() for x in ranks_file.splitlines() if x)]
+    return pa.table({"id": pa.array([i for i, _ in pairs], pa.int32()), "token": pa.array([t for _, t in pairs], pa.binary())})
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -171,37 +174,49 @@ def _reassembled(id_type: pa.DataType, ranks: Broadcast, with_decoded: bool):
         ids_before = np.concatenate([[0], np.cumsum(sizes[at])])[words_before].astype(np.int32)
         columns = {"id": pa.array(codes["ids"][0].as_py(), id_type), "ids": pa.ListArray.from_arrays(pa.array(ids_before), ids)}
         if with_decoded:
-            columns["decoded"] = _decoded(_token_bytes(ranks.value), columns["ids"])
+            columns["decoded"] = _decoded(_token_table(ranks.value), columns["ids"])
         return pa.table(columns)
 
     return reassemble
 
 
-def _decoded(table: pa.Array, lists: pa.ListArray) -> pa.Array:
-    """The bytes of each list of ids, by looking all ids up in the token-byte table at once; null lists have none."""
-    ids = lists.flatten()
-    if len(ids) and (pa.compute.min(ids).as_py() < 0 or pa.compute.max(ids).as_py() >= len(table)):
-        raise ValueError("an id is not in the vocabulary")
-    tokens = table.take(ids)
-    if tokens.null_count:
-        raise ValueError("an id is not in the vocabulary")
+def _decoded(table: pa.Table, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids; null lists have none.
+
+    Runs of lists are decoded by a join of their distinct ids with the token-byte table; the ids' places then put the
+    tokens' bytes in order.
+    """
     sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
-    offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int64)
-    data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
-    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary())
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    ids, row, found = lists.flatten(), 0, []
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(before, before[row] + DECODED_IDS, "right")) - 1)
+        places = ids.slice(before[row], before[stop] - before[row]).dictionary_encode()
+        asked = pa.table({"id": places.dictionary, "place": pa.array(np.arange(len(places.dictionary)))})
+        met = asked.join(table, "id", join_type="inner", use_threads=False).sort_by("place")
+        if len(met) < len(asked):
+            raise ValueError("an id is not in the vocabulary")
+        tokens = met["token"].combine_chunks().cast(pa.large_binary()).take(places.indices)
+        ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        offsets = ends[before[row : stop + 1] - before[row]]
+        data = tokens.buffers()[2] if len(tokens) else pa.py_buffer(b"")
+        found.append(pa.Array.from_buffers(pa.large_binary(), stop - row, [None, pa.py_buffer(offsets.tobytes()), data]).cast(pa.binary()))
+        row = stop
+    return pa.concat_arrays(found) if found else pa.array([], pa.binary())
 
 
 def encode(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """(``id_col``, ids) per row: the token ids of the whole text, without special tokens.
 
     ``ranks_path`` is a file of base64 tokens with their ranks, read by the driver; ``pattern`` cuts texts for the
-    encoder and must be the one that ``pretokens`` implements. ``with_decoded`` adds ``decoded``, the bytes that
+    encoder and must be the one that ``pretokens`` implements; another is an error. ``with_decoded`` adds ``decoded``, the bytes that
     the ids stand for, as ``decode`` gives them, without sending the ids round again.
 
     Null and empty texts have no ids. Each row is encoded by itself, so repeated rows and null ids do no harm;
     ids are long, int or string. An empty table gives no rows. Other columns are not read.
     """
+    if pattern != pretokens.PATTERN:
+        raise ValueError("texts can only be cut by pretokens.PATTERN")
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(open(ranks_path, "rb").read())  # the vocabulary, whatever the corpus' size
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -228,7 +243,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _decoded(_token_bytes(ranks.value), batch[ids_col].cast(pa.list_(pa.int32())))
+            out = _decoded(_token_table(ranks.value), batch[ids_col].cast(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -1,8 +1,7 @@
 """Pre-tokens of byte-level BPE, found by whole-array operations on code point classes.
 
-Gives the matches of the pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``:
-runs of one class; a space goes with the run after it; otherwise the last white space before a run stands
-alone; a lone apostrophe takes the contraction's letters after it.
+Gives the matches of PATTERN: runs of one class; a space goes with the run after it; otherwise the last white space
+before a run stands alone; a lone apostrophe takes the contraction's letters after it.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ import functools
 import numpy as np
 import regex
 
+# Fixed value: the pattern that cuts texts for this kind of vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 

@@ -63,7 +63,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.toxicity(docs, chain)
-    return scored.select("doc_id", held_out.alias("held_out"), "severe", F.col("toxic").alias("score"), F.when(F.col("toxic") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "outburst", F.col("toxic").alias("score"), F.when(F.col("toxic") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,8 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     for x in found:
         text = texts[x["doc_id"]] or ""
         assert list(x["ids"]) == library.encode_ordinary(text) and bytes(x["decoded"]) == text.encode()
+    with pytest.raises(ValueError):
+        bpe.encode(df, RANKS, r"\S+")
     again = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)
     assert {x["doc_id"]: bytes(x["decoded"]).decode() for x in again.collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
@@ -341,6 +343,21 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert quality_model.classify(df.limit(0), labels).count() == 0
 
 
+def test_scores_equal_a_walk_through_each_tree():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, len(quality_model.FEATURES))).astype(np.float32)
+    trees = quality_model.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    inner = trees.feature.shape[1]
+    for row, score in zip(x[:40], trees.score(x[:40]), strict=True):
+        margin = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += leaf[node - inner]
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-6)
+
+
 def test_trees_fit_an_interaction():
     r = np.random.default_rng(0)
     x = r.uniform(-1, 1, (2000, 3)).astype(np.float32)
@@ -358,14 +375,42 @@ def test_toxicity_on_held_out_rows(spark):
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(500)] + [(None, 1), (1, None)], "doc_id long, toxic int")
     chain = toxicity.fit(df, labels.where("doc_id % 4 <> 2"))
     assert chain.categories == toxicity.CATEGORIES and len(chain.links[1].earlier) == 1
-    got = by_id(toxicity.toxicity(df, chain), "severe", "toxic")
+    got = by_id(toxicity.toxicity(df, chain), "outburst", "toxic")
     held = [i for i in range(500) if i % 4 == 2]
     assert sum((got[i][1] >= 0.5) == (i in toxic) for i in held) >= 0.95 * len(held) and len(got) == 500 + len(ODD)
     assert all(got[i][1] < 0.5 for i in range(500, 500 + len(ODD)))
+    # scores again, word by word: hashes of words and word beginnings, looked up, weighed and added
+    weight = {int(h): i for i, h in enumerate(chain.features)}
+
+    def hashed(piece):
+        data = np.frombuffer(piece, np.uint8)
+        return int(textscan.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    for i in [*range(0, 500, 50), 501, 507, 508]:
+        words = re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), ((texts + ODD)[i] or "").encode()))
+        pieces = {hashed(w) for w in words} | {hashed(w[:k]) ^ k for w in words for k in toxicity.PREFIXES if len(w) > k}
+        hits, earlier = [weight[x] for x in pieces if x in weight], []
+        for link in chain.links:
+            margin = link.bias + sum(link.weights[h] for h in hits) + sum(a * b for a, b in zip(link.earlier, earlier, strict=True))
+            earlier.append(1 / (1 + np.exp(-margin)))
+        assert got[i] == pytest.approx(tuple(earlier))
     none = toxicity.fit(df, labels.limit(0))
     assert toxicity.toxicity(df.limit(0), none).count() == 0 and toxicity.toxicity(df, none).count() == len(got)
 
 
+def test_out_of_fold_models_see_nothing_of_the_fold(spark):
+    texts = [f"plain words here {i}" for i in range(60)] + [f"venomous{'abcde'[i % 5]} words here {i}" for i in range(60)]
+    rows = [(t, int(i >= 60), i % 5) for i, t in enumerate(texts)]
+    everything, *without = toxicity.chosen_features(spark.createDataFrame(rows, "text string, label int, fold int"), least_z=3.0)
+    hashed = lambda w: textscan.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+    for f in range(5):  # this word is in toxic texts of one fold alone
+        word = hashed(b"venomous" + b"abcde"[f : f + 1])
+        assert word in everything and word not in without[f] and all(word in without[g] for g in range(5) if g != f)
+    hits = toxicity.Hits(np.array([0, 0, 1, 2, 2]), np.array([3, 1, 0, 2, 3]), 4)
+    some = hits.of(np.array([0, 2]))
+    assert some.docs.tolist() == [0, 0, 1, 1] and some.at.tolist() == [3, 1, 2, 3]
+
+
 # ---------------------------------------------------------------- line dedup
 
 
