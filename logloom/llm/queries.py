@@ -42,7 +42,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     read = warc.read_records(spark, path)
     return read.select(
-        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.nullif("refers_to", F.lit("")).cast("long").alias("refers_to")
+        F.nullif("record_id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.nullif("refers_to", F.lit("")).cast("long").alias("refers_to")
     )
 
 

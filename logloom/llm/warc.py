@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.llm.staging import scratch, stage
+
 MIN_REVISIT_BYTES = 100
 
 # Fixed values of the WARC 1.1 format.
@@ -31,9 +33,23 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def _one_line(value: Column) -> Column:
-    """Line ends can't stand inside a header field: percent-encoded, as in a URI."""
-    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+#: A target URI with line ends can't stand in a header as it is; this field says that it is percent-encoded.
+ENCODED = "X-Target-URI-Encoding"
+
+
+def _broken(url: Column) -> Column:
+    return F.coalesce(url.contains("\r") | url.contains("\n"), F.lit(False))
+
+
+def _one_line(url: Column) -> Column:
+    """Line ends percent-encoded, and percent signs too then; other URIs stay as they are."""
+    encoded = F.replace(F.replace(F.replace(url, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.when(_broken(url), encoded).otherwise(url)
+
+
+def _unfolded(uri: Column, encoding: Column) -> Column:
+    plain = F.replace(F.replace(F.replace(uri, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
+    return F.when(encoding == "percent", plain).otherwise(uri)
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
@@ -41,30 +57,37 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     The payload is the column's UTF-8 text or bytes; null is empty. Records with equal payloads of at least
     ``min_revisit_bytes`` become one response (the smallest id) and revisits; smaller ones are all responses.
-    A null url leaves out the target URI. Ids must be unique and not null; with repeated ids each row still
-    is a record, and those after the first of a payload count as revisits of the same id. Other columns are
-    not read. An empty table gives an archive without records.
+    A null url leaves out the target URI. Rows that share an id are records of their own: the first of a payload is its
+    response, the others revisit that id. A null id comes after all others and is written empty, also where revisits
+    refer to it. Other columns are not read. An empty table gives an archive without records.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     # payloads once each: partial aggregation drops copies before the shuffle
     hashed = rows.withColumn("digest", F.sha2("payload", 256))
     hashed.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    with scratch(pages.sparkSession):
+        _write_headers(hashed, path, date, min_revisit_bytes)
+
 
-    facts = hashed.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
-    firsts = facts.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    shared = firsts.where("copies > 1").drop("copies")
+def _write_headers(hashed: DataFrame, path: str, date: str, min_revisit_bytes: int) -> None:
+    facts = hashed.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    facts = stage(facts, "warc-facts")  # so that all readings agree on the rows' numbers, and pages are read no third time
+    place = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row")
+    firsts = facts.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    shared = firsts.where("copies > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
     records = facts.join(shared, "digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
+    revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
 
     def record_id(key: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), key.cast("string"), F.lit(">"))
+        return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">"))
 
     header = _header([
         ("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        ("WARC-Record-ID", F.coalesce(record_id(F.col("page_id")), F.lit("<urn:page:>"))),
+        ("WARC-Record-ID", record_id(F.col("page_id"))),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", _one_line(F.col("url"))),
+        (ENCODED, F.when(_broken(F.col("url")), F.lit("percent"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("WARC-Refers-To", F.when(revisit, record_id(F.col("first_id")))),
         ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
@@ -84,7 +107,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         header_field(F.col("header"), "WARC-Type").alias("record_type"),
         F.replace(header_field(F.col("header"), "WARC-Payload-Digest"), F.lit("sha256:"), F.lit("")).alias("digest"),
         F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), key, 1).alias("refers_to"),
-        header_field(F.col("header"), "WARC-Target-URI").alias("target_uri"),
+        _unfolded(header_field(F.col("header"), "WARC-Target-URI"), F.coalesce(header_field(F.col("header"), ENCODED), F.lit(""))).alias("target_uri"),
     )
 
 

@@ -315,7 +315,15 @@ def test_warc_archive(spark):
         if got[i]["record_type"] == "response":
             assert bytes(got[i]["record"]).endswith(b"\r\n\r\n" + data + b"\r\n\r\n")
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["record_type"] != "response"} == {2: ("revisit", "1")}
+    assert [got[i]["target_uri"] for i in range(1, 8)] == [url for _, url, _ in pages]
     assert b"X: y" not in bytes(got[2]["record"]).replace(b"%0D%0AX: y", b"") and spark.read.parquet(f"{path}/payloads").count() == 5
+    odd = [(1, "50%0D\n%", "y" * 200), (1, "50%0D", "y" * 200), (None, "v", "y" * 200), (None, None, "z" * 200), (None, None, "z" * 200), (3, "w", "y" * 200)]
+    path = fresh_path(spark, "test-warc")
+    warc.write_archive(spark.createDataFrame([(*p, 0) for p in odd], "page_id long, url string, html string, size int").repartition(3), path)
+    found = collections.Counter((r["record_id"], r["record_type"], r["refers_to"] or "", r["target_uri"]) for r in warc.reconstruct(spark, path).collect())
+    first = next(u for u in (odd[0][1], odd[1][1]) if ("1", "response", "", u) in found)
+    second = odd[1][1] if first == odd[0][1] else odd[0][1]
+    assert found == collections.Counter([("1", "response", "", first), ("1", "revisit", "1", second), ("", "revisit", "1", "v"), ("3", "revisit", "1", "w"), ("", "response", "", None), ("", "revisit", "", None)])
     empty = fresh_path(spark, "test-warc")
     warc.write_archive(df.limit(0), empty)
     assert warc.read_records(spark, empty).count() == 0
