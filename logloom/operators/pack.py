@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.operators.folds import ordered_fold
+from logloom.sources.shared import scratch, stage
 
 BLOCK_BYTES, PACK_BYTES, RAW_BYTES = 256 << 10, 512 << 20, 16 << 10
 
@@ -81,6 +84,39 @@ def read_ranges(ranges: DataFrame, viewed: DataFrame, objects: DataFrame) -> Dat
     return cut.groupBy("session_id", "lo", "hi").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY part_idx)").alias("data"))
 
 
+def cached_blocks(reads: DataFrame, budget: int, largest: int, cache: str) -> DataFrame:
+    """(cache, block, size) that a least-recently-used cache of ``budget`` bytes holds after ``reads`` (at, block, size).
+
+    Blocks above ``largest`` bytes are never cached. What it holds are the blocks last read, as far as the budget reaches:
+    the newest whose sizes add up to no more. Spark keeps hot blocks by ``persist``; this tells which those would be.
+    """
+    last = reads.where(F.col("size") <= largest).groupBy(cache, "block").agg(F.max("at").alias("at"), F.max("size").alias("size"))
+    used = F.sum("size").over(W.partitionBy(cache).orderBy(F.desc("at"), "block").rowsBetween(W.unboundedPreceding, 0))
+    return last.withColumn("used", used).where(F.col("used") <= budget).select(cache, "block", "size")
+
+
+def nearest_ranks(rows: DataFrame, group: str, value: str, percents: Sequence[int]) -> DataFrame:
+    """(group, p50, …): of each group the value at rank ceil(n * percent / 100) of its values that aren't null.
+
+    Equal values are counted before anything is sorted. The counts are range-sorted by group and value; ranges' totals then
+    say in which range a rank lies, so a large group is spread over many tasks.
+    """
+    with scratch(rows.sparkSession):
+        counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+        ranged = counts.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, value).withColumn("range", F.spark_partition_id())
+        ranged = stage(ranged, "ranks")
+        per = ranged.groupBy(group, "range").agg(F.sum("n").alias("m"))
+        along = W.partitionBy(group).orderBy("range")
+        per = per.select(group, "range", "m", (F.sum("m").over(along) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy(group)).alias("total"))
+        wanted = per.withColumn("percent", F.explode(F.array(*map(F.lit, percents)))).withColumn("rank", F.expr("(total * percent + 99) div 100"))
+        wanted = wanted.where("before < rank AND rank <= before + m").select(F.col(group).alias("g"), F.col("range").alias("r"), "percent", (F.col("rank") - F.col("before")).alias("rank"))
+        near = ranged.join(F.broadcast(wanted.select("r").distinct()), ranged["range"] == F.col("r"), "left_semi")  # as many as percents and groups
+        near = near.withColumn("upto", F.sum("n").over(W.partitionBy(group, "range").orderBy(value)))
+        hit = near.join(wanted, near[group].eqNullSafe(F.col("g")) & (F.col("range") == F.col("r"))).where("upto >= rank AND upto - n < rank")
+        found = hit.groupBy(group).agg(*[F.max(F.when(F.col("percent") == p, F.col(value))).alias(f"p{p}") for p in percents])
+        return stage(found, "percentiles", keep=True)
+
+
 def visible(states: DataFrame) -> DataFrame:
     """What a session shows: its backing's bytes and size if there is one, else base followed by delta."""
     both = F.concat(F.coalesce("base", F.lit(b"")), F.coalesce("delta", F.lit(b"")))

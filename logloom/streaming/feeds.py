@@ -34,6 +34,18 @@ def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
     return changed(before, after, "path", ["size", "mtime"])
 
 
+def namespace_delta(before: DataFrame, after: DataFrame, pending: DataFrame) -> DataFrame:
+    """(path, change) between two listings (path, size, mtime): added, changed or removed; else retry.
+
+    ``pending`` names the paths whose last change couldn't be applied: those that haven't changed anew come again.
+    """
+    b = before.select("path", F.struct("size", "mtime").alias("was"))
+    x = b.join(after.select("path", F.struct("size", "mtime").alias("now")), "path", "full")
+    x = x.join(pending.select("path", F.lit(True).alias("again")).distinct(), "path", "full")
+    change = F.when(F.col("was").isNull() & F.col("now").isNotNull(), "added").when(F.col("was").isNotNull() & F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed").when(F.col("again"), "retry")
+    return x.select("path", change.alias("change")).where("change IS NOT NULL")
+
+
 def windowed_counts(events: DataFrame, ts: str, width: str, late: str) -> DataFrame:
     """Events per tumbling window, those later than ``late`` dropped."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
