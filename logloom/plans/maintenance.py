@@ -12,9 +12,10 @@ from logloom.plans.dedup import OBJECTS, RECORDS
 from logloom.plans.registry import query
 from logloom.plans.relations import AROUND, EDGES, SEED
 from logloom.plans.storage import STATS
-from logloom.sources.shared import stage
+from logloom.sources import sinks
+from logloom.sources.shared import fresh_path, stage
 from logloom.sources.tables import catalog, conversation_records, document_records, spawn_edges, table
-from logloom.streaming import appends, incremental, maintenance
+from logloom.streaming import appends, feeds, incremental, maintenance
 
 # ---------------------------------------------------------------- repair
 
@@ -363,3 +364,32 @@ def contiguous_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("event_id") % 400) * 10
     e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("session_id"), start.alias("start"), (start + 5 + F.col("event_id") % 13).alias("end"))
     return appends.contiguous_end(e, e.select("session_id", F.lit(100).alias("size")).distinct())
+
+
+@query("""WITH r AS (SELECT user_id AS cache, event_id AS seen, event_type || (event_id % 97) AS block, 10 + event_id % 97 AS size FROM events WHERE user_id IS NOT NULL), l AS (SELECT cache, block, max(seen) AS seen, max(size) AS size FROM r WHERE size <= 80 GROUP BY cache, block),
+    u AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY seen DESC, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM l) SELECT cache, block, size FROM u WHERE used <= 500""")
+def cached_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    reads = e.select(F.col("user_id").alias("cache"), F.col("event_id").alias("at"), F.concat("event_type", (F.col("event_id") % 97).cast("string")).alias("block"), (10 + F.col("event_id") % 97).alias("size"))
+    return pack.cached_blocks(reads, 500, 80, "cache")
+
+
+@query("SELECT CASE WHEN doc_id % 4 = 3 THEN '/moved/' ELSE '/n/' END || doc_id AS path, CASE doc_id % 4 WHEN 1 THEN 'changed' WHEN 3 THEN 'added' ELSE 'retry' END AS change FROM documents WHERE doc_id % 4 IN (1, 3) OR doc_id % 8 = 0 UNION ALL SELECT '/n/' || doc_id, 'removed' FROM documents WHERE doc_id % 4 = 3")
+def namespace_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they were, touched, or moved; every eighth and some that changed anew couldn't be applied last time."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    before = d.select("doc_id", F.concat(F.lit("/n/"), i).alias("path"), F.octet_length("text").alias("size"), F.lit(1).alias("mtime"))
+    moved = F.col("doc_id") % 4 == 3
+    after = before.withColumns({"path": F.when(moved, F.concat(F.lit("/moved/"), i)).otherwise(F.col("path")), "mtime": F.when(F.col("doc_id") % 4 == 1, 2).otherwise(1)})
+    return feeds.namespace_delta(before, after, before.where("doc_id % 8 = 0 OR doc_id % 8 = 1").select("path"))
+
+
+@query(f"WITH {RECORDS} SELECT DISTINCT sha256(record) AS sha256, strlen(record)::BIGINT AS raw_bytes FROM records")
+def packs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of all documents, written as packs of encoded blocks and put together again; sick ones would be missing."""
+    r = document_records(spark, sf_dir)
+    objects = r.select(F.sha2("record", 256).alias("sha256"), F.to_binary("record", F.lit("utf-8")).alias("bytes")).dropDuplicates(["sha256"])
+    path = fresh_path(spark, "packs")
+    sinks.write_packs(objects, path, 64, 65_536, shard_digits=1)
+    back = pack.packed_objects(sinks.read_packs(spark, path))
+    return back.where(F.sha2("bytes", 256) == F.col("sha256")).select("sha256", "raw_bytes")

@@ -251,8 +251,7 @@ def trace_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(name) for p, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*ranks)
+    return pack.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", (50, 95, 99))
 
 
 @query(f"WITH {OBJECTS}, o AS (SELECT size, occurrences AS n FROM objects) SELECT 'record' AS layer, {STATS} FROM o")
