@@ -136,18 +136,12 @@ def test_bpe_equals_the_library_and_round_trips(spark):
 # ---------------------------------------------------------------- mixing
 
 
-def test_mix_against_brute_force(spark):
-    texts = ODD + corpus(n=120)
-    df = documents(spark, texts)
-    got = collections.defaultdict(int)
-    copies = mixing.mix(df).collect()
-    for c in copies:
-        got[c["doc_id"]] += c["taken"]
+def mixed_by_hand(texts, source):
+    """(words taken of both copies, words, target, source size) of each text; no null or repeated ids."""
     size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
-    source = {r["doc_id"]: r["source"] for r in df.collect()}
-    names = sorted({s for s in source.values() if s}) + [None]
+    names = sorted({s for s in source.values() if s is not None}) + [None] * (None in source.values())
     total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
-    weight = dict(zip(names, [5, 2, 1] * 3, strict=False))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     target, left, open_ = {}, 1.5 * sum(total.values()), set(names)
     while open_:
         level = left / sum(weight[s] for s in open_)
@@ -158,8 +152,6 @@ def test_mix_against_brute_force(spark):
         open_ -= full or open_
     packets = []
     for place, s in enumerate(names):
-        of = [c for c in copies if c["source"] == s]
-        assert all(c["target"] == pytest.approx(target[s]) and c["source_size"] == total[s] for c in of)
         packet = max(1, min(1000, int(target[s] / 500)))
         at = 0
         for copy in range(2):
@@ -168,14 +160,24 @@ def test_mix_against_brute_force(spark):
                     words = min(packet, size[i] - skip)
                     at += words
                     packets.append((at / target[s], place, at, i, copy, words))
-    left, want = int(1.5 * sum(total.values())), collections.defaultdict(lambda: [0, 0])
+    left, taken = int(1.5 * sum(total.values())), collections.defaultdict(lambda: [0, 0])
     assert sum(p[5] for p in packets) > left  # more is queued than fits: the budget does the cutting
     for _, _, _, i, copy, words in sorted(packets):
-        want[i][copy] += min(words, left)
+        taken[i][copy] += min(words, left)
         left -= min(words, left)
-    assert {c["doc_id"]: list(c["copies"]) for c in copies} == {i: want[i] for i in size}
-    assert all(abs(sum(got[i] for i in size if source[i] == s) - target[s]) <= max(1, target[s] / 500) + 1 for s in names)
-    assert all(got[i] <= 2 * size[i] for i in size)
+    return {i: (taken[i], size[i], target[source[i]], total[source[i]]) for i in size}
+
+
+def test_mix_against_brute_force(spark):
+    texts = ODD + corpus(n=120)
+    df = documents(spark, texts)
+    source = {r["doc_id"]: r["source"] for r in df.collect()}
+    want, mixed = mixed_by_hand(texts, source), mixing.mix(df).collect()
+    assert {r["doc_id"]: (list(r["copies"]), r["size"], r["source_size"]) for r in mixed} == {i: (taken, size, total) for i, (taken, size, _, total) in want.items()}
+    assert all(r["target"] == pytest.approx(want[r["doc_id"]][2]) and r["taken"] == sum(r["copies"]) <= 2 * r["size"] for r in mixed)
+    for s in set(source.values()):
+        goal = next(w[2] for i, w in want.items() if source[i] == s)
+        assert abs(sum(r["taken"] for r in mixed if r["source"] == s) - goal) <= max(1, goal / 500) + 1
     assert mixing.mix(df.limit(0)).count() == 0
 
 

@@ -1,4 +1,4 @@
-"""The pipeline's stages, each on its own input, against plain Python."""
+"""The pipeline's stages, each on its own input, against plain Python; and all of them one after another."""
 
 import collections
 import hashlib
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logloom.llm import quality_rules
-from test_llm_operators import RANKS, WORD, components_of, corpus, documents, key
+from test_llm_operators import RANKS, WORD, base_counts, components_of, corpus, documents, key, mixed_by_hand, plain_estimation
+
 
 def texts_of(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
@@ -28,8 +29,14 @@ def docs(spark):
 
 def test_quality_stage(spark, docs):
     kept = texts_of(corpus_pipeline.keep_quality(spark, docs, ""))
-    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs).collect()}
-    assert sorted(kept) == sorted(i for i, v in verdict.items() if v)
+    votes = {r["doc_id"]: tuple(r["votes"]) for r in quality_rules.voted(docs).collect()}
+    p_good = plain_estimation(list(collections.Counter(votes.values()).items()), 30)
+
+    def good(i, text):
+        n_words, _, _, _, repeated = base_counts(text)
+        return n_words >= 10 and 100 * repeated <= 20 * n_words and p_good[votes[i]] >= 0.5
+
+    assert sorted(kept) == sorted(i for i, t in texts_of(docs).items() if good(i, t))
     assert set(range(80)) <= set(kept) and not set(range(84, 88)) & set(kept)
 
 
@@ -64,12 +71,15 @@ def test_last_stages_and_run(spark, docs, tmp_path):
     before = texts_of(docs)
     rows = mixed.collect()
     assert mixed.columns == list(corpus_pipeline.COLUMNS) and all(r["text"] == before[r["doc_id"]] for r in rows)
-    assert max(collections.Counter(r["doc_id"] for r in rows).values()) <= 2
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    want = mixed_by_hand([before[i] for i in sorted(before)], source)
+    assert sorted(before) == list(range(len(before)))
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(i for i, (taken, size, _, _) in want.items() for words in taken if words and 2 * words >= size)
     docs.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r["n_tokens"] == len(r["ids"]) for r in out)
     clean = [r for r in out if r["doc_id"] == 60]
-    assert all(r["decoded_sha256"] == hashlib.sha256(before[60].encode()).hexdigest() for r in clean)
+    assert clean and all(r["decoded_sha256"] == hashlib.sha256(before[60].encode()).hexdigest() for r in clean)
     assert not {84, 85, 86, 87} & {r["doc_id"] for r in out}
     assert RANKS == public_tokenizers.path("byte_bpe_50k.tiktoken")
 
