@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each applying one operator of ``logloom.llm``.
 
 Every stage but the last returns the columns of ``documents``. SQL can't express the estimation of the first
-stage's accuracies, nor byte-pair merges, so the pipeline is tested against a brute-force version.
+stage's accuracies, nor byte-pair merges, so each stage is tested against a brute-force version on its own input.
 """
 
 from __future__ import annotations
@@ -40,7 +40,10 @@ def own_tables(apply: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Ca
 
 @own_tables
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; those without text or with too few words are among them.
+
+    Rows are judged one by one: null ids do no harm, repeated rows fare alike. No rows give none.
+    """
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
@@ -48,7 +51,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first of them alone.
 
-    Documents of which no word is left go: all their lines stand elsewhere. Documents without words stay.
+    Documents of which no word is left go: all their lines stand elsewhere. Documents without words stay. The first is by
+    id, row and line; rows that share an id count as one document, a null id as one of its own. No rows give none.
     """
     docs = line_dedup.numbered(docs.select(*COLUMNS))
     marks = line_dedup.dedup_lines(docs, min_docs=10, keep_first=True)
@@ -89,7 +93,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @own_tables
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's text, with the digest of what they decode to."""
+    """Token ids of each row's text, with the digest of what they decode to.
+
+    A null text has no ids; null ids and repeated rows are encoded like others. No rows give none.
+    """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     done = bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_decoded=True)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
