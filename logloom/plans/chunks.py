@@ -20,10 +20,10 @@ def cdc(source: str, bounds: Bounds) -> str:
     bits = bounds.average.bit_length() - 1
     low = [int(x) & (bounds.average - 1) for x in GEAR]
     sums = " + ".join(f"coalesce(lag(t, {j}) OVER w, 0) * {1 << j}" for j in range(bits))
-    return f"""src AS (SELECT session_id, encode(data) AS e, octet_length(encode(data)) AS n FROM {source} WHERE data <> ''),
+    return f"""src AS MATERIALIZED (SELECT session_id, encode(data) AS e, octet_length(encode(data)) AS n FROM {source} WHERE data <> ''),
     bytes AS (SELECT session_id, i, ({low})[('0x' || hex(e[i:i]))::INT + 1] AS t FROM (SELECT session_id, e, unnest(range(1, n + 1)) AS i FROM src)),
     rolled AS (SELECT session_id, i, {sums} AS g FROM bytes WINDOW w AS (PARTITION BY session_id ORDER BY i)),
-    candidates AS (SELECT session_id, list(i ORDER BY i) AS at FROM rolled WHERE g % {bounds.average} = 0 GROUP BY session_id),
+    candidates AS MATERIALIZED (SELECT session_id, list(i ORDER BY i) AS at FROM rolled WHERE g % {bounds.average} = 0 GROUP BY session_id),
     cuts AS (SELECT session_id, 0::BIGINT AS start, 0::BIGINT AS stop FROM src
         UNION ALL SELECT c.session_id, c.stop, least(coalesce(list_filter(a.at, lambda x: x >= c.stop + {bounds.least})[1], s.n), c.stop + {bounds.most}, s.n)::BIGINT
         FROM cuts c JOIN src s ON s.session_id = c.session_id LEFT JOIN candidates a ON a.session_id = c.session_id WHERE c.stop < s.n),
