@@ -163,32 +163,36 @@ def shadow_compare(ranges: DataFrame, read: DataFrame, native: DataFrame) -> Dat
     return both.where(F.col("wanted") != F.coalesce("got", F.sha2(F.lit(b""), 256))).select("session_id", "lo", "hi")
 
 
-def packed_objects(packed_blocks: DataFrame) -> DataFrame:
+def packed_objects(packed_blocks: DataFrame, **also: Column) -> DataFrame:
     """(sha256, raw_bytes, bytes) of the objects put together from their blocks, which are verified one by one.
 
-    A block whose bytes don't have its digest makes its object null, for ``pack_doctor`` to report.
+    A block whose bytes don't have its digest makes its object null, for ``pack_doctor`` to report. ``also``: further
+    aggregates of an object's blocks.
     """
     sound = F.sha2("bytes", 256) == F.col("block_sha256")
-    per = packed_blocks.groupBy("sha256").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_idx)").alias("bytes"), F.bool_and(sound).alias("sound"))
-    return per.select("sha256", F.octet_length("bytes").cast("long").alias("raw_bytes"), F.when(F.col("sound"), F.col("bytes")).alias("bytes"))
+    per = packed_blocks.groupBy("sha256").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_idx)").alias("bytes"), F.bool_and(sound).alias("sound"), *[c.alias(name) for name, c in also.items()])
+    return per.select("sha256", F.octet_length("bytes").cast("long").alias("raw_bytes"), F.when(F.col("sound"), F.col("bytes")).alias("bytes"), *also)
 
 
 def pack_doctor(packed_blocks: DataFrame, manifest_parts: DataFrame) -> DataFrame:
     """(subject, id, issue): every object and every manifest checked through the packs alone.
 
-    Objects: ``gap``, ``damaged_block`` or ``wrong_digest``. Manifests' parts: ``missing_object`` or ``size_mismatch``, one
-    row per session and issue.
+    Objects: ``gap``, ``damaged_block`` or ``wrong_digest`` (or another size than the index gives). Manifests' parts:
+    ``missing_object`` or ``size_mismatch``, one row per session and issue. Sizes of parts are compared with the index,
+    since damaged bytes may be of any size.
     """
     order = W.partitionBy("sha256").orderBy("block_idx")
     gap = F.coalesce(F.lag(F.col("raw_offset") + F.col("raw_bytes")).over(order), F.lit(0)) != F.col("raw_offset")
-    gaps = packed_blocks.withColumn("gap", gap).groupBy("sha256").agg(F.bool_or("gap").alias("gap"))
-    o = packed_objects(packed_blocks).join(gaps, "sha256")
-    issue = F.when(F.col("gap"), "gap").when(F.col("bytes").isNull(), "damaged_block").when(F.sha2("bytes", 256) != F.col("sha256"), "wrong_digest")
-    wrong = o.select(F.lit("object").alias("subject"), F.col("sha256").alias("id"), issue.alias("issue")).where("issue IS NOT NULL")
-    p = manifest_parts.join(o.select("sha256", F.col("raw_bytes").alias("packed")), "sha256", "left")
-    issue = F.when(F.col("packed").isNull(), "missing_object").when(F.col("packed") != F.col("raw_bytes"), "size_mismatch")
-    bad = p.select(F.lit("manifest").alias("subject"), F.col("session_id").cast("string").alias("id"), issue.alias("issue")).where("issue IS NOT NULL").distinct()
-    return wrong.unionByName(bad)
+    with scratch(packed_blocks.sparkSession):
+        o = packed_objects(packed_blocks.withColumn("gap", gap), gap=F.bool_or("gap"), indexed=F.sum("raw_bytes"))
+        other = (F.sha2("bytes", 256) != F.col("sha256")) | (F.col("raw_bytes") != F.col("indexed"))
+        issue = F.when(F.col("gap"), "gap").when(F.col("bytes").isNull(), "damaged_block").when(other, "wrong_digest")
+        o = stage(o.select("sha256", "indexed", issue.alias("issue")), "doctored")  # the bytes are read once, for objects and manifests
+        wrong = o.select(F.lit("object").alias("subject"), F.col("sha256").alias("id"), "issue").where("issue IS NOT NULL")
+        p = manifest_parts.join(o.select("sha256", "indexed"), "sha256", "left")
+        issue = F.when(F.col("indexed").isNull(), "missing_object").when(F.col("indexed") != F.col("raw_bytes"), "size_mismatch")
+        bad = p.select(F.lit("manifest").alias("subject"), F.col("session_id").cast("string").alias("id"), issue.alias("issue")).where("issue IS NOT NULL").distinct()
+        return stage(wrong.unionByName(bad), "issues", keep=True)
 
 
 def retirable(loose: DataFrame, packed: DataFrame, pack_issues: int, loose_issues: int) -> DataFrame:

@@ -175,11 +175,10 @@ def pack_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _blocks(spark, sf_dir).where("sha256 NOT LIKE 'a%'")
     b = b.withColumn("raw_offset", F.when(F.col("sha256").startswith("b") & (F.col("block_idx") > 0), F.col("raw_offset") + 1).otherwise(F.col("raw_offset")))
     b = b.withColumn("bytes", F.when(F.col("sha256").startswith("c"), F.concat("bytes", F.lit(b"?"))).otherwise(F.col("bytes")))
-    swapped = F.when(F.col("sha256").startswith("d") & (F.col("block_idx") == 1), F.lit(b"other"))
-    b = b.withColumn("bytes", F.coalesce(swapped, F.col("bytes"))).withColumn("block_sha256", F.when(swapped.isNotNull(), F.sha2(swapped, 256)).otherwise(F.col("block_sha256")))
-    # sizes in manifests are of the objects as they were put; those of damaged ones are not asked again
+    swapped = F.when(F.col("sha256").startswith("d") & (F.col("block_idx") == 1), F.concat(F.lit(b"other"), "bytes"))
+    b = b.withColumns({"bytes": F.coalesce(swapped, F.col("bytes")), "block_sha256": F.coalesce(F.sha2(swapped, 256), F.col("block_sha256"))})
     parts = document_records(spark, sf_dir).select("session_id", F.sha2("record", 256).alias("sha256"), F.octet_length("record").cast("long").alias("raw_bytes"))
-    parts = parts.withColumn("raw_bytes", F.col("raw_bytes") + (F.col("session_id") % 11 == 1).cast("long")).where("sha256 LIKE 'a%' OR session_id % 11 = 1")
+    parts = parts.withColumn("raw_bytes", F.col("raw_bytes") + (F.col("session_id") % 11 == 1).cast("long"))
     return pack.pack_doctor(b, parts)
 
 
